@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.llm.decontaminate import op4_decontaminate
+from larkspur.llm.licenses import OP2_SQL, op2_license_scan
+from larkspur.llm.neighbors import OP10_SQL, op10_nearest_neighbors
 from larkspur.llm.packing import op1_harmonic_packing
 
-_ALL = [op1_harmonic_packing]
+_ALL = [op1_harmonic_packing, op2_license_scan, op4_decontaminate, op10_nearest_neighbors]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,4 +19,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": OP2_SQL, "op10_nearest_neighbors": OP10_SQL}
