@@ -123,6 +123,17 @@ def _rolling(words: np.ndarray, k: int, powers: _Powers) -> np.ndarray:
     return (total[k:] - total[:n]) * down[:n]
 
 
+def span_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the entries from start to end, of any lengths."""
+    out = []
+    for values, powers in ((words, _SEQ_A), (mix(words, 7), _SEQ_B)):
+        up, down = powers.get(len(words) + 1)
+        total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(values * up[:-1], out=total[1:])
+        out.append(mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)))
+    return out[0], out[1]
+
+
 def window_argmin(values: np.ndarray, width: int, rightmost: bool) -> np.ndarray:
     """Index of the minimum of each window of ``width`` values."""
     n = len(values) - width + 1
