@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from larkspur.llm.decontaminate import op4_decontaminate
 from larkspur.llm.licenses import OP2_SQL, op2_license_scan
 from larkspur.llm.neighbors import OP10_SQL, op10_nearest_neighbors
+from larkspur.llm.ngram_join import op7_ngram_jaccard
 from larkspur.llm.packing import op1_harmonic_packing
 from larkspur.llm.substrings import op8_substring_dedup
 
-_ALL = [op1_harmonic_packing, op2_license_scan, op4_decontaminate, op8_substring_dedup, op10_nearest_neighbors]
+_ALL = [op1_harmonic_packing, op2_license_scan, op4_decontaminate, op7_ngram_jaccard, op8_substring_dedup, op10_nearest_neighbors]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
