@@ -68,7 +68,7 @@ class Words:
         data = np.frombuffer(joined, np.uint8)
         if lower:
             data = _LOWER[data]
-        self.n_docs, self.data = len(texts), data
+        self.n_docs, self.data, self._total = len(texts), data, None
         is_word = table[data]
         edge = np.flatnonzero(np.diff(is_word, prepend=False, append=False))
         self.start, self.end = edge[::2], edge[1::2]
@@ -84,11 +84,29 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        up, down = _BYTES.get(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+        total, down = self._sums()
         return mix((total[self.end] - total[self.start]) * down[self.start])
 
+    def prefix_hashes(self, at: np.ndarray, k: int) -> np.ndarray:
+        """The hash of the first k bytes of the words at ``at``, which have as many."""
+        total, down = self._sums()
+        start = self.start[at]
+        return mix((total[start + k] - total[start]) * down[start])
+
+    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
+        up, down = _BYTES.get(len(self.data) + 1)
+        if self._total is None:
+            self._total = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self._total[1:])
+        return self._total, down
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """The words of one text by ``ALNUM``."""
+        words = Words([text.encode()], ALNUM, lower=True)
+        raw = words.data.tobytes()
+        return [raw[a:b].decode() for a, b in zip(words.start.tolist(), words.end.tolist())]
+
     def text(self, a: int, b: int) -> bytes:
         """Words a to b (not included), joined by one space."""
         raw = self.data

@@ -12,8 +12,9 @@ from larkspur.llm.neighbors import OP10_SQL, op10_nearest_neighbors
 from larkspur.llm.ngram_join import op7_ngram_jaccard
 from larkspur.llm.packing import op1_harmonic_packing
 from larkspur.llm.substrings import op8_substring_dedup
+from larkspur.llm.toxicity import op3_toxicity
 
-_ALL = [op1_harmonic_packing, op2_license_scan, op4_decontaminate, op7_ngram_jaccard, op8_substring_dedup, op10_nearest_neighbors]
+_ALL = [op1_harmonic_packing, op2_license_scan, op3_toxicity, op4_decontaminate, op7_ngram_jaccard, op8_substring_dedup, op10_nearest_neighbors]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
