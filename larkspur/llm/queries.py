@@ -11,11 +11,13 @@ from larkspur.llm.licenses import OP2_SQL, op2_license_scan
 from larkspur.llm.neighbors import OP10_SQL, op10_nearest_neighbors
 from larkspur.llm.ngram_join import op7_ngram_jaccard
 from larkspur.llm.packing import op1_harmonic_packing
+from larkspur.llm.pii import op9_pii_surrogates
 from larkspur.llm.quality import op6_quality_cotraining
 from larkspur.llm.substrings import op8_substring_dedup
 from larkspur.llm.toxicity import op3_toxicity
+from larkspur.llm.urls import op5_url_filter
 
-_ALL = [op1_harmonic_packing, op2_license_scan, op3_toxicity, op4_decontaminate, op6_quality_cotraining, op7_ngram_jaccard, op8_substring_dedup, op10_nearest_neighbors]
+_ALL = [op1_harmonic_packing, op2_license_scan, op3_toxicity, op4_decontaminate, op5_url_filter, op6_quality_cotraining, op7_ngram_jaccard, op8_substring_dedup, op9_pii_surrogates, op10_nearest_neighbors]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
