@@ -10,13 +10,18 @@ hash.  Steps:
    its shingles; documents with equal sets are one *class*, and only classes
    are joined.  The same pass counts shingles.
 2. Prefix shingles are packed by shingle bucket; each bucket sorts them and
-   yields the posting lists of two or more classes, each once.
-3. In each list, members of compatible length are paired with one *hub*, and
-   the pairs are verified on whole texts.  A group of copies of any size is so
-   joined by about as many pairs as it has members.
+   yields the posting lists of two or more classes, each once, and how many of
+   its prefix shingles each class shares with any other.  Of two sets, let x be
+   the one whose prefix ends first in the common order: all that x's prefix has
+   in common with y stands in y's prefix.  So their overlap is at most x's
+   *room*, its size less the shingles of its prefix that no other prefix has.
+3. In each list, members of compatible length are paired with one *hub*, the
+   one with the fewest shingles of its own, and the pairs are verified on whole
+   texts.  A group of copies of any size is so joined by about as many pairs as
+   it has members.
 4. All other pairs of a list whose members are in different components by now,
-   and that pass the length and positional filters, are verified too, so that
-   no link is lost that could join two components.
+   and that pass the length, room and positional filters, are verified too, so
+   that no link is lost that could join two components.
 
 Verification applies a suffix filter (sizes of 16 hash ranges of the two sets
 bound their overlap) before it counts the overlap, once for each pair.  A
@@ -27,6 +32,7 @@ block by block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +53,10 @@ HOT = 100_000
 
 _TUPLE = np.dtype([("g", "<u8"), ("c", "<u8"), ("n", "<u4"), ("pos", "<u2"), ("parts", "<u2")])
 _LISTS = "shingle long, part int, codes array<long>, sizes array<long>"
+#: The part of rows that hold, for a bucket's classes, how many shingles they share.
+_SHARED = -1
+#: And where their prefixes end.
+_ENDS = -2
 
 
 def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +130,12 @@ def _shingle_counts(surveyed: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _order_key(often: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """A number that grows with the common order; equal numbers leave the order open."""
+    most = (1 << 20) - 1
+    return np.where(often < most, (np.minimum(often, most).astype(np.uint64) << np.uint64(42)) + (g >> np.uint64(22)), np.uint64(most << 42))
+
+
 def _prefixes(size: int, percent: int, buckets: int, counts, hot: int):
     """Texts to the prefix shingles of their sets, packed by bucket."""
 
@@ -139,7 +155,7 @@ def _prefixes(size: int, percent: int, buckets: int, counts, hot: int):
             order = np.lexsort((g, often, doc))
             doc, g, often = doc[order], g[order], often[order]
             pos = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            within = pos < n[doc] - (percent * n[doc] + 99) // 100 + 1
+            within = pos < _prefix(n[doc], percent)
             doc, g, often, pos = doc[within], g[within], often[within], pos[within]
             if not len(doc):
                 continue
@@ -148,7 +164,14 @@ def _prefixes(size: int, percent: int, buckets: int, counts, hot: int):
             by = np.argsort(where, kind="stable")
             out = np.zeros(len(by), _TUPLE)
             out["g"], out["c"], out["n"], out["pos"], out["parts"] = g[by], c[doc][by], n[doc][by], np.minimum(pos[by], 65_535), parts[by]
-            ids, begin = np.unique(where[by], return_index=True)
+            last = np.flatnonzero(np.append(doc[1:] != doc[:-1], True))
+            ends = np.zeros(len(last), _TUPLE)  # parts 0: where the class's prefix ends
+            ends["g"], ends["c"] = _order_key(often[last], g[last]), c[doc[last]]
+            out = np.concatenate([out, ends])
+            where = np.concatenate([where[by], ends["c"] % np.uint64(buckets)])
+            by = np.argsort(where, kind="stable")
+            out, where = out[by], where[by]
+            ids, begin = np.unique(where, return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array([out[a:b].tobytes() for a, b in zip(begin, [*begin[1:], len(out)])], pa.binary())], names=["bucket", "tuples"])
 
     return run
@@ -158,9 +181,12 @@ def _posting_lists(table_: pa.Table) -> pa.Table:
     """A bucket's lists of two classes or more: members, and for lists dealt to several tasks the shingle and part.
 
     Equal lists come out once.  A part of a dealt list comes out even with one
-    member, for its hub.
+    member, for its hub.  Two rows more have the numbers of shared shingles and
+    the ends of prefixes.
     """
     t = np.frombuffer(b"".join(table_.column("tuples").to_pylist()), _TUPLE)
+    ends = t[t["parts"] == 0]
+    t = t[t["parts"] > 0]
     part = t["c"] % t["parts"]
     order = np.lexsort((t["c"], part, t["g"]))
     t, part = t[order], part[order]
@@ -179,30 +205,49 @@ def _posting_lists(table_: pa.Table) -> pa.Table:
         g = int(t["g"][lo].astype(np.int64)) if dealt else None
         x = codes[lo : lo + k]
         out.setdefault((g, int(part[lo]) if dealt else 0, x.tobytes()), (x, sizes[lo : lo + k]))  # each list's places bound the overlap
+    shared, k = np.unique(codes[np.repeat(keep, length)], return_counts=True)
+    out[None, _SHARED, b""] = (shared, k)
+    _, one = np.unique(ends["c"], return_index=True)
+    out[None, _ENDS, b""] = (ends["c"][one].astype(np.int64), ends["g"][one].astype(np.int64))
     ends = np.cumsum([0] + [len(x) for x, _ in out.values()]).astype(np.int32)
-    flat = [np.concatenate([v[i] for v in out.values()]) if out else np.zeros(0, np.int64) for i in (0, 1)]
-    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in flat]
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([v[i] for v in out.values()]).astype(np.int64))) for i in (0, 1)]
     return pa.table({"shingle": pa.array([k[0] for k in out], pa.int64()), "part": pa.array([k[1] for k in out], pa.int32()), "codes": lists[0], "sizes": lists[1]})
 
 
-def _split(sizes: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Set sizes and places from their packed form."""
-    x = np.asarray(sizes, np.int64)
-    return x >> 32, x & 0xFFFFFFFF
+def _prefix(n, percent: int):
+    return n - (percent * n + 99) // 100 + 1
 
 
-def hubs(codes: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """For each member the index of its hub: the one of least code in a run of compatible lengths.
+@dataclass
+class Members:
+    """A posting list's classes with their sizes, places of the shingle, rooms and ends of prefixes."""
 
-    Codes are hashes, so a group of copies has the same hub in most of its lists.
-    """
-    order = np.argsort(n, kind="stable")
-    n = n[order]
+    c: np.ndarray
+    n: np.ndarray
+    pos: np.ndarray
+    room: np.ndarray
+    end: np.ndarray
+
+    @classmethod
+    def of(cls, codes: list[int], sizes: list[int], known: list[dict], percent: int) -> Members:
+        c, x = np.array(codes, np.int64), np.array(sizes, np.int64)
+        n = x >> 32
+        room = n - _prefix(n, percent) + np.array([k["shared"] for k in known], np.int64)
+        return cls(c, n, x & 0xFFFFFFFF, room, np.array([k["end"] for k in known], np.int64))
+
+    def take(self, at: np.ndarray) -> Members:
+        return Members(self.c[at], self.n[at], self.pos[at], self.room[at], self.end[at])
+
+
+def hubs(m: Members, percent: int) -> np.ndarray:
+    """For each member the index of its hub: in a run of compatible lengths, the one with the fewest shingles of its own."""
+    order = np.argsort(m.n, kind="stable")
+    n = m.n[order]
     out, at = np.zeros(len(n), np.int64), 0
     while at < len(n):
         to = int(np.searchsorted(n, n[at] * 100 // percent, side="right"))
         run = order[at:to]
-        out[run] = run[np.argmin(codes[run])]
+        out[run] = run[np.lexsort((m.c[run], m.n[run] - m.room[run]))[0]]
         at = to
     return out
 
@@ -211,11 +256,13 @@ def _hub_pairs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for codes, sizes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                c = np.array(codes, np.int64)
-                hub = hubs(c, _split(sizes)[0], percent)
-                other = hub != np.arange(len(c))
-                a.append(c[hub[other]]), b.append(c[other])
+            for codes, sizes, known in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                m = Members.of(codes, sizes, known, percent)
+                hub = hubs(m, percent)
+                other = np.flatnonzero(hub != np.arange(len(hub)))
+                x, y = m.take(hub[other]), m.take(other)
+                ok = _may_link(x, y, percent)
+                a.append(x.c[ok]), b.append(y.c[ok])
             a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
@@ -223,10 +270,12 @@ def _hub_pairs(percent: int):
     return run
 
 
-def _may_link(nx: np.ndarray, px: np.ndarray, ny: np.ndarray, py: np.ndarray, percent: int) -> np.ndarray:
-    """Length and positional filters: can sets of these sizes, sharing a shingle at these places, overlap enough?"""
-    most = np.minimum(np.minimum(px, py) + 1 + np.minimum(nx - px - 1, ny - py - 1), np.minimum(nx, ny))
-    return (100 * most >= percent * (nx + ny - most)) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+def _may_link(x: Members, y: Members, percent: int) -> np.ndarray:
+    """Length, room and positional filters: can sets that share a shingle at these places overlap enough?"""
+    room = np.where(x.end < y.end, x.room, np.where(y.end < x.end, y.room, np.maximum(x.room, y.room)))
+    place = np.minimum(x.pos, y.pos) + 1 + np.minimum(x.n - x.pos - 1, y.n - y.pos - 1)
+    most = np.minimum(np.minimum(room, place), np.minimum(x.n, y.n))
+    return (100 * most >= percent * (x.n + y.n - most)) & (100 * np.minimum(x.n, y.n) >= percent * np.maximum(x.n, y.n))
 
 
 def _cross_pairs(percent: int, two: bool):
@@ -235,17 +284,18 @@ def _cross_pairs(percent: int, two: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                x, cx, (nx, px) = np.array(row["codes"], np.int64), np.array(row["roots"], np.int64), _split(row["sizes"])
-                y, cy, (ny, py) = (np.array(row["codes2"], np.int64), np.array(row["roots2"], np.int64), _split(row["sizes2"])) if two else (x, cx, (nx, px))
-                hub = None if two else hubs(x, nx, percent)
-                step = max(1, 500_000 // len(y))
-                for at in range(0, len(x), step):
+                x, cx = Members.of(row["codes"], row["sizes"], row["known"], percent), np.array(row["roots"], np.int64)
+                y, cy = (Members.of(row["codes2"], row["sizes2"], row["known2"], percent), np.array(row["roots2"], np.int64)) if two else (x, cx)
+                hub = None if two else hubs(x, percent)
+                step = max(1, 500_000 // len(cy))
+                for at in range(0, len(cx), step):
                     i, j = np.nonzero(cx[at : at + step, None] != cy[None])
                     i += at
-                    ok = _may_link(nx[i], px[i], ny[j], py[j], percent)
+                    left, right = x.take(i), y.take(j)
+                    ok = _may_link(left, right, percent)
                     if not two:
                         ok &= (i < j) & (hub[i] != j) & (hub[j] != i)
-                    a, b = x[i[ok]], y[j[ok]]
+                    a, b = left.c[ok], right.c[ok]
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -295,23 +345,31 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hot: i
     tuples = rows.agg(F.sum(F.expr("n div 4 + 1"))).first()[0] or 0
 
     packed = docs.select("text").mapInArrow(_prefixes(size, percent, partitions_for(tuples, BUCKET_TUPLES), counts, hot), "bucket long, tuples binary")
-    lists = packed.groupBy("bucket").applyInArrow(_posting_lists, _LISTS)
-    lists = cut(lists.dropDuplicates(["shingle", "part", "codes"]))
+    found = cut(packed.groupBy("bucket").applyInArrow(_posting_lists, _LISTS))
+
+    def numbers(part: int) -> DataFrame:
+        return found.where(F.col("part") == part).select(F.explode(F.arrays_zip("codes", "sizes")).alias("x")).select(F.col("x.codes").alias("c"), F.col("x.sizes").alias("x"))
+
+    shared = numbers(_SHARED).groupBy("c").agg(F.sum("x").alias("shared"))
+    known = shared.join(numbers(_ENDS), "c").groupBy("c").agg(F.struct(F.first("shared").alias("shared"), F.first("x").alias("end")).alias("known"))
+    lists = cut(_attached(found.where("part >= 0").dropDuplicates(["shingle", "part", "codes"]), known, "known"))
     # the first members of the parts of a dealt list make a list of their own
-    met = lists.where("shingle IS NOT NULL").groupBy("shingle").agg(F.array_sort(F.collect_set(F.struct(F.col("codes")[0].alias("c"), F.col("sizes")[0].alias("s")))).alias("m"))
-    met = met.select(F.col("m.c").alias("codes"), F.col("m.s").alias("sizes"))
-    paired = lists.select("codes", "sizes").unionByName(met).where(F.size("codes") > 1)
+    met = lists.where("shingle IS NOT NULL").groupBy("shingle").agg(F.array_sort(F.collect_set(F.struct(F.col("codes")[0].alias("c"), F.col("sizes")[0].alias("s"), F.col("known")[0].alias("k")))).alias("m"))
+    met = met.select(F.col("m.c").alias("codes"), F.col("m.s").alias("sizes"), F.col("m.k").alias("known"))
+    paired = lists.select("codes", "sizes", "known").unionByName(met).where(F.size("codes") > 1)
     pairs = cut(paired.mapInArrow(_hub_pairs(percent), "a long, b long").distinct())
     texts = _class_texts(keyed, rows, lists)
     links = cut(_verified(pairs, texts, size, percent))
     roots = components(links)
 
-    labelled = cut(_labelled(lists, roots).where("k > 1 OR shingle IS NOT NULL"))
-    more = labelled.where("k > 1").select("codes", "sizes", "roots").mapInArrow(_cross_pairs(percent, False), "a long, b long")
+    named = _attached(lists, roots.select(F.col("node").alias("c"), "root"), "root").withColumn("roots", F.transform("root", lambda x, i: F.coalesce(x, F.col("codes")[i])))
+    labelled = cut(named.withColumn("k", F.size(F.array_distinct("roots"))).where("k > 1 OR shingle IS NOT NULL"))
+    mine, theirs = ["codes", "sizes", "known", "roots"], ["codes2", "sizes2", "known2", "roots2"]
+    more = labelled.where("k > 1").select(*mine).mapInArrow(_cross_pairs(percent, False), "a long, b long")
     dealt = labelled.where("shingle IS NOT NULL")
-    other = dealt.select("shingle", F.col("part").alias("part2"), F.col("codes").alias("codes2"), F.col("sizes").alias("sizes2"), F.col("roots").alias("roots2"))
+    other = dealt.select("shingle", F.col("part").alias("part2"), *[F.col(a).alias(b) for a, b in zip(mine, theirs)])
     across = dealt.join(other, "shingle").where("part < part2 AND (k > 1 OR exists(roots2, x -> x <> roots[0]))")
-    more = more.unionByName(across.select("codes", "sizes", "roots", "codes2", "sizes2", "roots2").mapInArrow(_cross_pairs(percent, True), "a long, b long"))
+    more = more.unionByName(across.select(*mine, *theirs).mapInArrow(_cross_pairs(percent, True), "a long, b long"))
     late = cut(more.distinct().join(pairs, ["a", "b"], "left_anti"))
     if not late.isEmpty():
         roots = components(links.unionByName(_verified(late, texts, size, percent)))
@@ -346,13 +404,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.mapInArrow(verify(size, percent), "a long, b long")
 
 
-def _labelled(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """The lists with their members' roots (a member without links is its own) and the number of different ones."""
+def _attached(lists: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """The lists with an array of what ``values`` (c and ``name``) has for each member, null for none."""
     numbered = lists.withColumn("list", F.struct(F.xxhash64("shingle", "part", "codes"), F.hash("codes", "part", "shingle")))
-    flat = numbered.select("list", F.posexplode("codes").alias("i", "c"))
-    named = flat.join(roots.withColumnRenamed("node", "c"), "c", "left").select("list", "i", F.coalesce("root", "c").alias("root"))
-    by = named.groupBy("list").agg(F.expr("transform(array_sort(collect_list(struct(i, root))), x -> x.root)").alias("roots"))
-    return numbered.join(by, "list").withColumn("k", F.size(F.array_distinct("roots"))).select("shingle", "part", "codes", "sizes", "roots", "k")
+    flat = numbered.select("list", F.posexplode("codes").alias("i", "c")).join(values, "c", "left")
+    by = flat.groupBy("list").agg(F.array_sort(F.collect_list(F.struct("i", name))).alias("x")).select("list", F.col(f"x.{name}").alias(name))
+    return numbered.join(by, "list").drop("list")
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
