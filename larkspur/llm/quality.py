@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, pool_r
     sample = rows.join(wanted, "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "quality", "text", *_META)
     got = sample.mapInArrow(run, "h long, quality int, a array<double>, b array<double>").orderBy("h").toArrow()
     y = got.column("quality").to_numpy()
-    a, b = (np.array(got.column(c).to_pylist(), float).reshape(len(y), -1) for c in ("a", "b"))
+    a, b = (np.array(got.column(c).to_pylist(), float) for c in ("a", "b"))
     if not (y >= 0).any():  # nothing to learn from: keep everything
         a, b, y = text_features([b""]), meta_features([None], [None], [None]), np.array([1])
     return co_train((a[y >= 0], b[y >= 0]), y[y >= 0].astype(float), (a[y < 0], b[y < 0]))
