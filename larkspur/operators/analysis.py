@@ -314,7 +314,12 @@ class Walk:
         return Value(taints=taints, params=params)
 
     def literal(self, e: ast.expr, v: Value) -> Value:
-        self.emit("literal", e, None, v.raw if v.raw is not None else v.text, v.how, v.taints)
+        text = v.raw if v.raw is not None else v.text
+        if v.how:  # a folded text stands for the same text folded inside it
+            for f in self.facts[-8:]:
+                if f["kind"] == "literal" and f["how"] and f["text"] == text:
+                    f["kind"] = "part"
+        self.emit("literal", e, None, text, v.how, v.taints)
         return v
 
     def on_Constant(self, e: ast.Constant) -> Value:

