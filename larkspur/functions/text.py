@@ -27,9 +27,10 @@ def normal_slashes(text: Column) -> Column:
     return F.regexp_replace(text, r"\\{1,2}", "/")
 
 
-def preview(text: Column, most: int = 20) -> Column:
-    """The first characters, with dots where there are more."""
-    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
+def preview(text: Column, most: int = 16) -> Column:
+    """The first and the last characters of a longer text."""
+    half = F.lit(most // 2)
+    return F.when(F.length(text) > most, F.concat(F.left(text, half), F.lit("..."), F.right(text, half))).otherwise(text)
 
 
 def is_base64(text: Column) -> Column:

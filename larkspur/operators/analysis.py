@@ -42,8 +42,12 @@ class Value:
     number: int | None = None
     function: object = None
     params: frozenset = frozenset()
+    hint: str = ""  # what is known of a text that is not wholly constant
+    data: bytes | None = None
 
 
+#: Flags of an ``exec`` fact.
+EXTRA, SUSPICIOUS, PYTHON, LEAST_HIGH = 1, 2, 4, 8
 NOTHING = Value()
 
 
@@ -52,6 +56,7 @@ class Function:
     names: list
     returns: list
     leaks: list
+    body: object = None
 
 
 def parse(source: str) -> tuple[ast.Module | None, str]:
@@ -124,6 +129,7 @@ class Walk:
         self.facts: list[dict] = []
         self.modules: set[str] = set()
         self.downloaded: dict[str, dict] = {}
+        self.inlined, self.inline_depth = 0, 0
 
     # -- facts ---------------------------------------------------------
     def span(self, node: ast.AST) -> tuple[int, int]:
@@ -277,6 +283,7 @@ class Walk:
         self.body(s.body)
         self.scopes.pop()
         self.functions.pop()
+        made.body = s.body
         self.scopes[-1][s.name] = Value(function=made)
 
     def klass(self, s: ast.ClassDef) -> None:
@@ -315,9 +322,12 @@ class Walk:
 
     def literal(self, e: ast.expr, v: Value) -> Value:
         text = v.raw if v.raw is not None else v.text
-        if v.how:  # a folded text stands for the same text folded inside it
-            for f in self.facts[-8:]:
-                if f["kind"] == "literal" and f["how"] and f["text"] == text:
+        if v.how:  # a folded text stands for all that it was made of
+            start, end = self.span(e)
+            for f in reversed(self.facts):
+                if f["start"] < start or f["end"] > end:
+                    break
+                if f["kind"] in ("literal", "numbers") and f["depth"] == self.depth:
                     f["kind"] = "part"
         self.emit("literal", e, None, text, v.how, v.taints)
         return v
@@ -328,15 +338,15 @@ class Walk:
             raw = unquoted(self.data[start:end].decode("utf-8", "replace"))
             text = e.value if isinstance(e.value, str) else escaped(e.value)
             self.plain_nested(e, text)
-            return self.literal(e, Value(text=text, raw=raw))
+            return self.literal(e, Value(text=text, raw=raw, data=e.value if isinstance(e.value, bytes) else None))
         if isinstance(e.value, int) and not isinstance(e.value, bool):
             return Value(number=e.value)
         return NOTHING
 
     def plain_nested(self, e: ast.expr, text: str) -> None:
-        if len(text) > C.BASE64_LONG and re.fullmatch(r"[A-Za-z0-9+/]+=*", text.strip()):
+        if len(text) >= 2 * C.BASE64_LEAST and len(text.strip()) % 4 == 0 and re.fullmatch(r"[A-Za-z0-9+/]+=*", text.strip()):
             got = decoded("base64.b64decode", text)
-            if got and got[0].isprintable() or got and "\n" in got[0]:
+            if got and got[0].replace("\n", "").replace("\t", "").isprintable() and "\\x" not in got[0]:
                 self.nested(got[0], e)
 
     def on_JoinedStr(self, e: ast.JoinedStr) -> Value:
@@ -359,12 +369,14 @@ class Walk:
         owner = self.value(e.value)
         path = f"{owner.path}.{e.attr}" if owner.path is not None else None
         taints = owner.taints | ({C.ATTRIBUTE_TAINTS[path]} if path in C.ATTRIBUTE_TAINTS else set())
-        return Value(path=path, taints=frozenset(taints), params=owner.params)
+        return Value(path=path, taints=frozenset(taints), params=owner.params, hint=owner.hint if path in C.PATH_WRITES else "")
 
     def on_BinOp(self, e: ast.BinOp) -> Value:
         a, b = self.value(e.left), self.value(e.right)
         keeps = not isinstance(e.op, (ast.Sub, ast.Div, ast.FloorDiv, ast.Pow, ast.MatMult))
-        out = Value(taints=a.taints | b.taints if keeps else frozenset(), params=a.params | b.params)
+        left, right = (v.text if v.text is not None else v.hint for v in (a, b))
+        hint = left + right if isinstance(e.op, ast.Add) else left if isinstance(e.op, ast.Mod) else ""
+        out = Value(taints=a.taints | b.taints if keeps else frozenset(), params=a.params | b.params, hint=hint)
         if isinstance(e.op, ast.Add) and a.text is not None and b.text is not None:
             return self.literal(e, replace(out, text=a.text + b.text, how=a.how or b.how or "Concat"))
         if isinstance(e.op, ast.Add) and a.items is not None and b.items is not None:
@@ -394,7 +406,8 @@ class Walk:
             elif not (isinstance(x, ast.Constant) and type(x.value) is float):
                 break
         if hexed > C.HEXED_MORE_THAN or ints > C.INTS_MORE_THAN:
-            self.emit("numbers", e, None, how="Hex" if hexed > C.HEXED_MORE_THAN else "Int", number=ints)
+            shown = ", ".join(ast.get_source_segment(self.source, x) or "" for x in e.elts[:5])
+            self.emit("numbers", e, f"[{shown}, ... ]", how="Hex" if hexed > C.HEXED_MORE_THAN else "Int", number=ints)
         return Value(items=items, taints=frozenset().union(*(i.taints for i in items)), params=frozenset().union(*(i.params for i in items)))
 
     on_Tuple = on_List
@@ -541,16 +554,31 @@ class Walk:
                 continue
             if kind == "exfil" and v.taints:
                 self.emit("exfil", e, self.chain(e.func) or label, taints=v.taints)
-            elif kind in ("shell", "code") and (v.how in ("Base64", "Hex", "Other") or v.taints & {*HARD, "NetworkSourced"}):
-                self.emit("exec", e, self.chain(e.func) or label, v.text, kind, v.taints, number=2)
+            elif kind in ("shell", "code") and any(v is a for a in args):
+                self.emit("exec", e, self.chain(e.func) or label, v.text, kind, v.taints, number=LEAST_HIGH | (SUSPICIOUS if self.hard([v]) else 0))
             for q in v.params:
                 if self.functions:
                     self.functions[-1].leaks.append((q, kind, label, hard))
-        taints = flow.union(*(r.taints for r in made.returns))
-        path = next((r.path for r in made.returns if r.path is not None), None)
-        text = next((r.text for r in made.returns if r.text is not None), None)
+        returns = made.returns
+        if made.body and self.inline_depth < 2 and self.inlined < 500 and given:
+            # once more with what this call passes; the facts are recorded already
+            self.inlined, self.inline_depth = self.inlined + 1, self.inline_depth + 1
+            kept, self.facts = self.facts, []
+            self.scopes.append(given)
+            self.functions.append(Function(made.names, [], []))
+            self.body(made.body)
+            returns = self.functions.pop().returns + returns
+            self.scopes.pop()
+            self.facts, self.inline_depth = kept, self.inline_depth - 1
+        taints = flow.union(*(r.taints for r in returns))
+        path = next((r.path for r in returns if r.path is not None), None)
+        text = next((r.text for r in returns if r.text is not None), None)
         return Value(path=path, text=text, taints=taints, params=params)
 
+    @staticmethod
+    def hard(values: list[Value]) -> bool:
+        return any(v.how in ("Base64", "Hex", "Other") or v.taints & HARD for v in values)
+
     def joined(self, v: Value) -> list[str] | None:
         if v.text is not None:
             return list(v.text)
@@ -576,7 +604,7 @@ class Walk:
         if qn in ("globals", "locals", "vars"):
             return Value(path=f"{first.path}.__dict__" if first.path else qn)
         if qn in C.CONSTRUCTORS:
-            return Value(path="pathlib.Path" if qn == "Path" else qn, text=None, params=first.params)
+            return Value(path="pathlib.Path" if qn == "Path" else qn, params=first.params, hint=first.text or first.hint)
         if qn == "chr" and first.number is not None and 0 <= first.number < 0x110000:
             return Value(text=chr(first.number), how="Other")
         if qn == "ord" and first.text is not None and len(first.text) == 1:
@@ -590,13 +618,15 @@ class Walk:
             return Value(items=tuple(Value(text=p) for p in reversed(parts))) if parts is not None else replace(first, items=first.items[::-1] if first.items else None)
         if qn == "map" and first.path == "chr" and second.items and all(i.number is not None and 0 <= i.number < 0x110000 for i in second.items):
             return Value(items=tuple(Value(text=chr(i.number), how="Other") for i in second.items))
-        if qn == "os.path.join" and args and all(a.text is not None for a in args):
-            return Value(text="/".join(a.text for a in args), how="Concat")
+        if qn == "os.path.join" and args:
+            if all(a.text is not None for a in args):
+                return Value(text="/".join(a.text for a in args), how="Concat")
+            return Value(hint="/".join(a.text or a.hint or a.path or "" for a in args))
         if qn == "os.path.expanduser" and first.text is not None:
             return replace(first, raw=None)
         if receiver.text is not None:
             return self.text_method(receiver, method, args)
-        return NOTHING
+        return Value(path=qn)
 
     def text_method(self, receiver: Value, method: str | None, args: list[Value]) -> Value:
         s = receiver.text
@@ -604,6 +634,11 @@ class Walk:
         if method == "join" and args and (parts := self.joined(args[0])) is not None:
             how = next((i.how for i in args[0].items or () if i.how), "") or "Join"
             return Value(text=s.join(parts), how=how)
+        if method == "decode" and receiver.data is not None and texts and texts[0]:
+            try:
+                return Value(text=receiver.data.decode(texts[0]), how="Other")
+            except (LookupError, UnicodeDecodeError):
+                return NOTHING
         if method == "decode":
             return replace(receiver, raw=None, how=receiver.how or "Other")
         if method == "encode" or method == "format" and not args:
@@ -622,31 +657,43 @@ class Walk:
                 if self.functions and p in self.functions[-1].names and (p, kind, label, False) not in self.functions[-1].leaks:
                     self.functions[-1].leaks.append((p, kind, label, False))
 
+    def execution(self, e: ast.Call, qn: str, callee: Value, args: list[Value], named: dict) -> None:
+        """A call that runs a command or code: what it runs, whether through Python, and how hidden that is."""
+        first = args[0] if args else NOTHING
+        kind = "shell" if qn in _SHELL else "code"
+        at = _ARGV_AT.get(qn.rsplit(".", 1)[-1], 0)
+        subjects = [*args[at : at + 1], *(named[k] for k in ("args", "executable", "source", "object", "expression", "target") if k in named)]
+        parts = ["python" if v.path == "sys.executable" else v.text if v.text is not None else v.hint for s in subjects for v in (s.items or (s,))]
+        if kind == "shell" and len(parts) > 1 and re.search(r"(^|/)python[\d.]*(\.exe)?$", parts[0]):
+            if parts[1] == "-c":
+                self.nested(parts[2] if len(parts) > 2 else None, e)
+            elif parts[1] == "-":
+                subjects = [named.get("input", NOTHING)]
+                self.nested(subjects[0].text, e)
+        python = kind == "shell" and len(parts) > 1 and parts[0].endswith("python") and parts[1] in ("-c", "-")
+        if kind == "code":
+            self.nested(first.text, e)
+        sus = self.hard([callee, *subjects]) or qn.startswith("__builtins__.")
+        alias = kind == "code" and (qn.startswith("builtins.") or isinstance(e.func, ast.Name) and e.func.id != qn)
+        stdin = python and parts[1] == "-"
+        flags = (SUSPICIOUS if sus else 0) | (PYTHON if python and not stdin else 0) | (LEAST_HIGH if alias or python else 0)
+        self.emit("exec", e, qn, " ".join(parts), "code" if stdin else kind, callee.taints.union(*(s.taints for s in subjects)), number=flags)
+        for path, fact in self.downloaded.items():
+            if any(path in p for p in parts):
+                fact["number"] = 1
+        self.leak(kind, qn, subjects)
+
     def detect(self, e: ast.Call, qn: str | None, callee: Value, args: list[Value], named: dict, flow: frozenset) -> None:
         if qn is None:
             return
         first = args[0] if args else NOTHING
-        if qn in C.INDIRECT_EXEC and (target := named.get("target", NOTHING)).path in _SHELL | _CODE:
-            self.emit("exec", e, target.path, None, "shell" if target.path in _SHELL else "code", flow | target.taints, number=2)
-        elif qn == "map" and first.path in _SHELL | _CODE:
-            self.emit("exec", e, first.path, None, "shell" if first.path in _SHELL else "code", flow | first.taints, number=2)
+        target = named.get("target", NOTHING) if qn in C.INDIRECT_EXEC else first if qn == "map" else NOTHING
+        if target.path in _SHELL | _CODE:
+            self.emit("exec", e, target.path, None, "shell" if target.path in _SHELL else "code", target.taints, number=EXTRA | (SUSPICIOUS if self.hard([target]) else 0))
         elif qn in _SHELL or qn in _CODE:
-            kind = "shell" if qn in _SHELL else "code"
-            at = _ARGV_AT.get(qn.rsplit(".", 1)[-1], 0)
-            subjects = [*args[at : at + 1], *(named[k] for k in ("args", "executable", "source", "object", "expression", "target") if k in named)]
-            parts = [t for s in subjects for t in ([i.text for i in s.items] if s.items else [s.text]) if t is not None]
-            hard = any(s.how in ("Base64", "Hex", "Other") or s.taints & HARD for s in subjects)
-            python = kind == "shell" and len(parts) > 2 and re.search(r"(^|/)python[\d.]*(\.exe)?$", parts[0]) and parts[1] == "-c"
-            if kind == "code":
-                self.nested(first.text, e)
-            elif python:
-                self.nested(parts[2], e)
-            taints = callee.taints.union(*(s.taints for s in subjects))
-            self.emit("exec", e, qn, " ".join(parts), "code" if python else kind, taints, number=2 if hard else 0)
-            for path, fact in self.downloaded.items():
-                if any(path in p for p in parts):
-                    fact["number"] = 1
-            self.leak(kind, qn, subjects)
+            self.execution(e, qn, callee, args, named)
+        if qn == "str" and first.path == "os.environ":
+            self.emit("environment", e, first.path)
         if qn in C.ENV_CALLS:
             self.emit("env", e, first.text if first.text is not None else named.get("key", NOTHING).text)
         if qn in _SINKS or _URLLIB.match(qn):
@@ -658,15 +705,17 @@ class Walk:
         if qn in _DOWNLOADS:
             texts = [v.text for v in [*args, *named.values()] if v.text]
             for t in texts[:1]:
-                fact = self.emit("download", e, t, texts[1] if len(texts) > 1 else None, qn, flow)
-                if len(texts) > 1:
-                    self.downloaded[texts[1]] = fact
+                to = (args[1].text or args[1].hint) if len(args) > 1 else texts[1] if len(texts) > 1 else ""
+                temporary = qn.endswith("urlretrieve") and any(m in to for m in C.TEMP_MARKS)
+                fact = self.emit("download", e, t, to, qn, flow, number=2 if temporary else 0)
+                if to:
+                    self.downloaded[to] = fact
         if qn in ("open", "io.open") or qn in C.PATH_WRITES:
             mode = (args[1] if len(args) > 1 else named.get("mode", NOTHING)).text or ""
             name = first.text if qn not in C.PATH_WRITES else None
-            if qn in C.PATH_WRITES and isinstance(e.func, ast.Attribute) and isinstance(e.func.value, ast.Call) and e.func.value.args:
-                name = self.value_quiet(e.func.value.args[0]).text
-            if name and (qn in C.PATH_WRITES or "w" in mode):
+            if qn in C.PATH_WRITES:
+                name = callee.hint
+            if name and (qn in C.PATH_WRITES or "w" in mode or "a" in mode):
                 self.emit("write", e, name)
         if self.is_setup and qn in C.SETUP_CALLS and "cmdclass" in named:
             for k in next(k.value for k in e.keywords if k.arg == "cmdclass").values if isinstance(next(k.value for k in e.keywords if k.arg == "cmdclass"), ast.Dict) else []:

