@@ -20,8 +20,11 @@ hash.  Steps:
    texts.  A group of copies of any size is so joined by about as many pairs as
    it has members.
 4. All other pairs of a list whose members are in different components by now,
-   and that pass the length, room and positional filters, are verified too, so
-   that no link is lost that could join two components.
+   and that pass the length, room, positional and bitmap filters, are verified
+   too, so that no link is lost that could join two components.  The bitmap has
+   one bit a hash range, set where the set has an odd number of shingles; two
+   sets differ in at least as many shingles as their bitmaps in bits, which
+   bounds their overlap.
 
 Verification applies a suffix filter (sizes of 16 hash ranges of the two sets
 bound their overlap) before it counts the overlap, once for each pair.  A
@@ -53,6 +56,9 @@ HOT = 100_000
 
 _TUPLE = np.dtype([("g", "<u8"), ("c", "<u8"), ("n", "<u4"), ("pos", "<u2"), ("parts", "<u2")])
 _LISTS = "shingle long, part int, codes array<long>, sizes array<long>"
+#: Bits of a set's bitmap: four a shingle, a power of two between these.
+BITS = (256, 4096)
+
 #: The part of rows that hold, for a bucket's classes, how many shingles they share.
 _SHARED = -1
 #: And where their prefixes end.
@@ -278,14 +284,75 @@ def _may_link(x: Members, y: Members, percent: int) -> np.ndarray:
     return (100 * most >= percent * (x.n + y.n - most)) & (100 * np.minimum(x.n, y.n) >= percent * np.maximum(x.n, y.n))
 
 
+def bitmaps(texts: list[bytes | None], size: int = SHINGLE) -> list[bytes]:
+    """For each text its set's bitmap; a bitmap of half the bits is the exclusive or of the halves."""
+    doc, g = shingle_sets(texts, size)
+    n = np.bincount(doc, minlength=len(texts))
+    bits = 1 << np.ceil(np.log2(np.clip(4 * n, *BITS))).astype(np.int64)
+    begin = np.concatenate(([0], np.cumsum(bits)))
+    at = begin[doc] + (mix(g, 17) & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(at, minlength=begin[-1]) & 1).astype(np.uint8), bitorder="little")
+    return [odd[a // 8 : b // 8].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+
+
+def _bitmaps(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bitmaps(as_bytes(batch.column(1)), size), pa.binary())], names=["c", "bitmap"])
+
+    return run
+
+
+class Bitmaps:
+    """The bitmaps of a list's members, each also in the sizes below its own."""
+
+    def __init__(self, of: list[bytes]):
+        self.words = np.array([len(b) // 8 for b in of], np.int64)
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        place, rows = np.zeros(len(of), np.int64), np.zeros((0, 0), np.uint64)
+        for w in sorted(set(self.words.tolist()), reverse=True):
+            own = np.flatnonzero(self.words == w)
+            while rows.shape[1] > w:
+                rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+            place = place.copy()
+            place[own] = len(rows) + np.arange(len(own))
+            mine = np.frombuffer(b"".join(of[i] for i in own), np.uint64).reshape(len(own), w)
+            rows = np.concatenate([rows, mine]) if len(rows) else mine
+            self.rows[w] = place, rows
+
+    def __getitem__(self, w: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and rows at ``w`` words, for all members of so many or more."""
+        if w not in self.rows:
+            place, rows = self.rows[min(x for x in self.rows if x > w)]
+            while rows.shape[1] > w:
+                rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+            self.rows[w] = place, rows
+        return self.rows[w]
+
+
+def differing(x: Bitmaps, i: np.ndarray, y: Bitmaps, j: np.ndarray) -> np.ndarray:
+    """In how many bits member i[k] of x and j[k] of y differ, each pair at the smaller of their sizes."""
+    out, words = np.zeros(len(i), np.int64), np.minimum(x.words[i], y.words[j])
+    for w in np.unique(words).tolist():
+        (at_x, rows_x), (at_y, rows_y) = x[w], y[w]
+        pairs = np.flatnonzero(words == w)
+        step = (1 << 20) // w
+        for k in range(0, len(pairs), step):
+            p = pairs[k : k + step]
+            out[p] = np.bitwise_count(rows_x[at_x[i[p]]] ^ rows_y[at_y[j[p]]]).sum(1, dtype=np.int64)
+    return out
+
+
 def _cross_pairs(percent: int, two: bool):
-    """Members and their components (of one list, or of two parts of a list) to the pairs that hubs left out."""
+    """Members, their components and bitmaps (of one list, or of two parts of a list) to the pairs that hubs left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 x, cx = Members.of(row["codes"], row["sizes"], row["known"], percent), np.array(row["roots"], np.int64)
                 y, cy = (Members.of(row["codes2"], row["sizes2"], row["known2"], percent), np.array(row["roots2"], np.int64)) if two else (x, cx)
+                bx = Bitmaps(row["bitmap"])
+                by = Bitmaps(row["bitmap2"]) if two else bx
                 hub = None if two else hubs(x, percent)
                 step = max(1, 500_000 // len(cy))
                 for at in range(0, len(cx), step):
@@ -295,7 +362,11 @@ def _cross_pairs(percent: int, two: bool):
                     ok = _may_link(left, right, percent)
                     if not two:
                         ok &= (i < j) & (hub[i] != j) & (hub[j] != i)
-                    a, b = left.c[ok], right.c[ok]
+                    i, j = i[ok], j[ok]
+                    total = x.n[i] + y.n[j]
+                    most = (total - differing(bx, i, by, j)) // 2
+                    ok = 100 * most >= percent * (total - most)
+                    a, b = x.c[i[ok]], y.c[j[ok]]
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -364,7 +435,10 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hot: i
 
     named = _attached(lists, roots.select(F.col("node").alias("c"), "root"), "root").withColumn("roots", F.transform("root", lambda x, i: F.coalesce(x, F.col("codes")[i])))
     labelled = cut(named.withColumn("k", F.size(F.array_distinct("roots"))).where("k > 1 OR shingle IS NOT NULL"))
-    mine, theirs = ["codes", "sizes", "known", "roots"], ["codes2", "sizes2", "known2", "roots2"]
+    compared = texts.join(labelled.select(F.explode("codes").alias("c")).distinct(), "c", "left_semi")
+    labelled = cut(_attached(labelled, compared.select("c", "text").mapInArrow(_bitmaps(size), "c long, bitmap binary"), "bitmap"))
+    mine = ["codes", "sizes", "known", "roots", "bitmap"]
+    theirs = [f"{name}2" for name in mine]
     more = labelled.where("k > 1").select(*mine).mapInArrow(_cross_pairs(percent, False), "a long, b long")
     dealt = labelled.where("shingle IS NOT NULL")
     other = dealt.select("shingle", F.col("part").alias("part2"), *[F.col(a).alias(b) for a, b in zip(mine, theirs)])
