@@ -41,12 +41,12 @@ PATTERNS = [
     ("card", r"\b[0-9]{4}(?:[ -]?[0-9]{4}){3}\b"),
     ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
     ("key", r"\bAKIA[0-9A-Z]{16}\b"),
-    ("secret", r"\b[0-9a-f]{32,64}\b"),
+    ("secret", r"\b[0-9a-fA-F]{32,64}\b"),
     ("name", rf"\b(?:{_NAMED})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: Texts without this hold no entity.
-_HINT = rf"[0-9@]|(?:{_NAMED})\.? \p{{Lu}}"
+_HINT = rf"[0-9@]|AKIA|[a-fA-F]{{32}}|(?:{_NAMED})\.? \p{{Lu}}"
 
 
 def kind_of(value: Column) -> Column:
@@ -78,6 +78,12 @@ def _alike(value: Column, stream: Column, hexadecimal: bool = False) -> Column:
     return F.array_join(F.transform(F.split(value, ""), drawn), "")
 
 
+def _cased_hex(like: Column, x: Column) -> Column:
+    """``x`` in the case of a secret; of one in mixed case, each digit in the case of its place."""
+    mixed = F.array_join(F.transform(F.split(x, ""), lambda c, i: F.when(F.substr(like, i + 1, F.lit(1)).rlike("[A-F]"), F.upper(c)).otherwise(c)), "")
+    return F.when(like == F.lower(like), x).when(like == F.upper(like), F.upper(x)).otherwise(mixed)
+
+
 def _pick(names: list[str], stream: Column, at: int) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), _number(stream, F.lit(at)) % len(names) + 1)
 
@@ -128,7 +134,7 @@ def surrogate(value: Column, draw: Column, key: Column) -> Column:
         .when(kind == "ipv4", ipv4)
         .when(kind == "phone", phone)
         .when(kind == "key", aws)
-        .when(kind == "secret", _alike(value, _stream(key, "secret", value, draw), hexadecimal=True))
+        .when(kind == "secret", _cased_hex(value, _alike(F.lower(value), _stream(key, "secret", F.lower(value), draw), hexadecimal=True)))
         .when(kind == "name", _name(key, value, draw))
         .otherwise(_alike(value, _stream(key, "number", value, draw)))
     )
