@@ -2,7 +2,9 @@
 
 Every entity found (mail address, IPv4 address, phone, card and social numbers,
 secrets, titled names) is replaced by a surrogate drawn from a keyed hash of
-its value, so the same value has the same surrogate in all documents.  The
+its value, so the same value has the same surrogate in all documents.  Phone
+numbers are those with a leading + and the national forms (826) 555-4081,
+826-555-4081 and 826.555.4081; other national forms are left as they are.  The
 surrogate keeps the entity's format character by character, a name's title,
 case, script and (by the title) gender; a mail domain and a surname are drawn
 from their own value, so that people of one domain or family stay so.
@@ -33,13 +35,31 @@ SYLLABLES = {"latin": "bar bel dor fen gal hal kor lan mar nel or pen ros sel to
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _NAMED = "|".join(t for ts in TITLES.values() for t in ts)
-#: Each kind's pattern, for Java and RE2 alike.  The first that fits at a place wins.
+_EMAIL = r"[\p{L}0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+_IPV4 = rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b"
+_CARD = r"\b[0-9]{4}(?:[ -]?[0-9]{4}){3}\b"
+_SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
+_NATIONAL = r"(?:\([0-9]{3}\) ?|\b[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}\b"
+_ABROAD = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})"
+_BESIDE = rf"{_IPV4}|{_SSN}|{_NATIONAL}|\b{_EMAIL}"
+_MORE = "(?:[ .-]?(?!{})[0-9]{{2,4}})"
+#: The digits of a phone number end where another entity begins.  Its own last groups may look like the start of a card
+#: (second form), and a number that has no other reading runs on (third form).
+_PHONE = "|".join(
+    [
+        rf"{_ABROAD}{_MORE.format(f'{_BESIDE}|{_CARD}')}{{2,3}}\b",
+        rf"{_ABROAD}{_MORE.format(_BESIDE)}{{2}}{_MORE.format(f'{_BESIDE}|{_CARD}')}?\b",
+        rf"{_ABROAD}(?:[ .-]?[0-9]{{2,4}}){{2,3}}\b",
+        _NATIONAL,
+    ]
+)
+#: Each kind's pattern, for Java.  The first that fits at a place wins.
 PATTERNS = [
-    ("email", r"[\p{L}0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    ("ipv4", rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b"),
-    ("phone", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}\b"),
-    ("card", r"\b[0-9]{4}(?:[ -]?[0-9]{4}){3}\b"),
-    ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
+    ("email", _EMAIL),
+    ("ipv4", _IPV4),
+    ("phone", _PHONE),
+    ("card", _CARD),
+    ("ssn", _SSN),
     ("key", r"\bAKIA[0-9A-Z]{16}\b"),
     ("secret", r"\b[0-9a-fA-F]{32,64}\b"),
     ("name", rf"\b(?:{_NAMED})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"),

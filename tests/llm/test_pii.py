@@ -86,3 +86,20 @@ def test_secrets_of_either_case(spark):
     upper, lower, both = (re.search("[0-9a-fA-F]{40}", got[i].text)[0] for i in (1, 2, 3))
     assert upper == upper.upper() and lower == lower.lower() and upper.lower() == lower == both.lower()
     assert re.fullmatch("only AKIA[0-9A-Z]{16} here", got[4].text) and re.fullmatch("only [0-9a-f]{32} here", got[5].text)
+
+
+def test_entities_beside_each_other(spark):
+    phone = "+1 (826) 555-4081"
+    beside = ["190.137.223.204", "4111 1111 1111 1111", "123-45-6789", "190.lee@corp.example.org", "826-555-4081", "(826) 555-4082", "826.555.4083", "+49 30 1234 5678"]
+    rows = [(0, f"call {phone} now")] + [(i, f"{phone}{gap}{x} end") for i, (gap, x) in enumerate(((g, x) for x in beside for g in " .-"), 1)]
+    rows += [(90, "+49 30123456 190.137.223.204 end"), (91, "190.137.223.204 +1 (826) 555-4081 end"), (92, "+49 30 1234 5678 9012 end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}
+    alone = got[0].text.removeprefix("call ").removesuffix(" now")
+    for i, text in rows[1:25:3]:  # with a space between
+        assert got[i].n_entities == 2 and got[i].text.startswith(alone + " "), (text, got[i].text)
+    assert got[91].n_entities == 2 and got[91].text.endswith(f" {alone} end")
+    assert got[90].n_entities == 2 and got[92].n_entities == 1 and "9012" not in got[92].text
+    for i, text in rows[1:25]:
+        rest = text.removeprefix(phone)[1:].removesuffix(" end")
+        assert phone not in got[i].text and rest not in got[i].text and rest[3:] not in got[i].text, (text, got[i].text)
