@@ -59,29 +59,128 @@ class Function:
     body: object = None
 
 
+_TOKEN = re.compile(r"""#[^\n]*|'{3}|"{3}|'(?:\\.|[^'\\\n])*'?|"(?:\\.|[^"\\\n])*"?|[()\[\]{}]|\\\n|\n|[^#'"()\[\]{}\\\n]+|.""", re.S)
+_CLAUSE = re.compile(r"\s*(?:elif|else|except|finally|case)\b|\s*[)\]}]")
+_STATEMENT = re.compile(r"\s*(?:def|class|import|from|return|while|try|with|print|exec|raise|del|global|assert|async|@)\b")
+
+
+def _starts(lines: list[str]) -> list[bool]:
+    """Whether a statement can begin at each line: not within a long string, nor within brackets (an unclosed one ends at a statement's keyword)."""
+    out, depth, text = [True], 0, "\n".join(lines)
+    at = 0
+    while at < len(text):
+        token = _TOKEN.match(text, at)
+        at, t = token.end(), token[0]
+        if t in ("'''", '"""'):
+            end = text.find(t, at)
+            while end > 0 and text[end - 1] == "\\":
+                end = text.find(t, end + 1)
+            end = len(text) if end < 0 else end + 3
+            out += [False] * text.count("\n", at, end)
+            at = end
+        elif t in "([{":
+            depth += 1
+        elif t in ")]}":
+            depth = max(depth - 1, 0)
+        elif t == "\\\n":
+            out.append(False)
+        elif t == "\n":
+            if depth and _STATEMENT.match(text, at):
+                depth = 0
+            out.append(depth == 0)
+    return out
+
+
+def _modern(line: str) -> str:
+    """A line of the old syntax in the new one."""
+    line = re.sub(r"^(\s*)except\s+([^:()]+?|\([^()]*\))\s*,\s*(\w+)\s*:", r"\1except \2 as \3:", line)
+    line = re.sub(r"^(\s*)raise\s+([\w.]+)\s*,\s*(.+)$", r"\1raise \2(\3)", line)
+    # with >> the stream becomes one more argument
+    return re.sub(r"^(\s*)(print|exec)\b\s*(?!\()(?:>>\s*)?([^#\s=,.\[:+*/%&|^)\]}-].*)$", r"\1\2(\3)", line)
+
+
+def _parses(lines: list[str], lo: int, hi: int) -> bool:
+    block = lines[lo:hi]
+    indented = next((x for x in block if x.strip()), "")[:1].isspace()
+    try:
+        ast.parse("\n".join(["if 1:", *block, ""] if indented else block))
+        return True
+    except SyntaxError:
+        return False
+
+
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip())
+
+
+def _settle(lines: list[str], begins: list[bool], lo: int, hi: int) -> None:
+    """Edits ``lines[lo:hi]`` statement by statement until it parses as one block; what cannot be read becomes ``pass``."""
+    full = [i for i in range(lo, hi) if lines[i].strip() and begins[i] and not lines[i].lstrip().startswith("#")]
+    if not full or _parses(lines, lo, hi):
+        return
+    least = min(_indent(lines[i]) for i in full)
+    for i in full[: full.index(next(i for i in full if _indent(lines[i]) == least))]:
+        lines[i] = " " * least + lines[i].lstrip()  # deeper than the block that it opens
+    heads = [i for i in full if _indent(lines[i]) == least and not _CLAUSE.match(lines[i])] or full[:1]
+    if heads[0] != full[0]:
+        heads = [full[0], *heads]
+    if len(heads) > 1:
+        for a, b in zip(heads, [*heads[1:], hi]):
+            _settle(lines, begins, a, b)
+        return
+    # one statement: its blocks, then the lines that open them
+    inner = [i for i in full if _indent(lines[i]) == least]
+    bodies = [(a, [k for k in full if a < k < b]) for a, b in zip(inner, [*inner[1:], hi])]
+    ends = [*inner[1:], hi]
+    for (a, body), b in zip(bodies, ends):
+        if body:
+            _settle(lines, begins, body[0], b)
+    if _parses(lines, lo, hi):
+        return
+    for (a, body), b in zip(bodies, ends):
+        first = body[0] if body else b
+        lone = lines[a:first] + ([" " * (least + 1) + "pass"] if body else [])
+        if body or not _parses(lone, 0, len(lone)):
+            for k in range(a, first):
+                lines[k] = ""
+            lines[a] = " " * least + ("if 1:" if body else "pass")
+
+
 def parse(source: str) -> tuple[ast.Module | None, str]:
-    """The tree, after repairs of lines that do not parse, and the text it belongs to."""
+    """The tree, after repairs of lines that do not parse, and the text it belongs to.
+
+    Old-style lines are repaired at once, then single bad lines; a text with
+    more than ``MAX_REPAIRS`` of them is read statement by statement.
+    """
     text, seen = source, set()
-    for attempt in range(MAX_REPAIRS):
-        try:
-            return ast.parse(text), text
-        except SyntaxError as error:
-            if attempt == 0 and text[:1].isspace():
-                text = textwrap.dedent(text)
-                continue
-            lines = text.split("\n")
-            at = min(max((error.lineno or 1) - 1, 0), len(lines) - 1)
-            line = lines[at]
-            old_style = re.sub(r"^(\s*)(print|exec)\b\s*(?!\()(.*)$", r"\1\2(\3)", line)
-            if at not in seen and old_style != line:
-                lines[at] = old_style
-            else:
-                lines[at] = line[: len(line) - len(line.lstrip())] + ("pass" if line.strip() != "pass" else "")
-            seen.add(at)
-            text = "\n".join(lines)
-        except (ValueError, RecursionError, MemoryError):
-            return None, text
-    return None, text
+    try:
+        for attempt in range(MAX_REPAIRS):
+            try:
+                return ast.parse(text), text
+            except SyntaxError as error:
+                if attempt == 0 and text[:1].isspace():
+                    text = textwrap.dedent(text)
+                    continue
+                lines = text.replace("\0", " ").split("\n")
+                at = min(max((error.lineno or 1) - 1, 0), len(lines) - 1)
+                line = lines[at]
+                old_style = re.sub(r"^(\s*)(print|exec)\b\s*(?!\()(.*)$", r"\1\2(\3)", line)
+                if not seen and (modern := [_modern(x) if b else x for x, b in zip(lines, _starts(lines))]) != lines:
+                    lines = modern
+                elif at not in seen and old_style != line:
+                    lines[at] = old_style
+                else:
+                    lines[at] = line[: len(line) - len(line.lstrip())] + ("pass" if line.strip() != "pass" else "")
+                seen.add(at)
+                text = "\n".join(lines)
+        lines = source.replace("\0", " ").replace("\f", " ").split("\n")
+        begins = _starts(lines)
+        lines = [_modern(x[: _indent(x)].expandtabs() + x.lstrip()) if b else x for x, b in zip(lines, begins)]
+        _settle(lines, begins, 0, len(lines))
+        text = "\n".join(lines)
+        return ast.parse(text), text
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None, text
 
 
 def unquoted(segment: str) -> str:
@@ -118,6 +217,7 @@ class Walk:
     def __init__(self, source: str, is_setup: bool = False, depth: int = 0, outer: tuple[int, int] | None = None):
         self.tree, self.source = parse(source[:MAX_TEXT] if depth else source)
         self.is_setup, self.depth, self.outer = is_setup, depth, outer
+        self.given_up = self.tree is not None and self.source != source and all(isinstance(s, ast.Pass) for s in self.tree.body)
         self.data = self.source.encode("utf-8", "replace")
         starts = [0]
         for line in self.data.split(b"\n"):
@@ -147,6 +247,9 @@ class Walk:
         self.comments()
         if self.tree is not None:
             self.body(self.tree.body)
+        # a text of which every statement was given up is not read either; within other texts that is mere prose
+        if self.tree is None or (not self.depth and self.given_up):
+            self.emit("error", self.outer or (0, 0), "not parsed")
         names = {f["name"] for f in self.facts if f["kind"] in ("call", "exec")}
         spawns = bool(names & _SHELL) or "pty.spawn" in names
         for f in self.facts:

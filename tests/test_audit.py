@@ -88,3 +88,29 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_entropy(spark):
     rows = spark.createDataFrame([("",), ("aaaa",), ("abab",), ("abcd",)], "t string").select(T.entropy(F.col("t"))).collect()
     assert [round(r[0], 9) for r in rows] == [0, 0, 1, 2]
+
+
+def _named(source):
+    return [(f["kind"], f["name"]) for f in facts(source, "a.py")]
+
+
+@pytest.mark.parametrize(
+    "many",
+    [
+        "".join(f"print 'a', {i}\n" for i in range(200)),
+        "def f():\n" + "    print >>sys.stderr, 'a'\n" * 200 + "    eval(y)\n",
+        "try:\n    g()\nexcept E, e:\n    print e\n" * 200,
+        "".join(f"x{i} = = 3\n" for i in range(200)),
+        "class A:\n" + "".join(f"    def f{i}(self):\n        y = ` 3\n        eval(y)\n" for i in range(200)),
+        "x = [\n" + "y = = 3\n" * 200,
+        "if x = 1:\n    a ? b\nelse:\n    print '''a\nb = =\n'''\n" * 200,
+    ],
+)
+def test_any_number_of_bad_lines(many):
+    found = _named(many + "import os\nos.system('ls')\n")
+    assert ("import", "os") in found and ("exec", "os.system") in found and not any(k == "error" for k, _ in found)
+    assert found.count(("exec", "eval")) == many.count("eval(y)")
+
+
+def test_what_does_not_parse_is_told():
+    assert ("error", "not parsed") in _named("x = " + "(" * 3000 + ")" * 3000)
