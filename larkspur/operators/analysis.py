@@ -21,7 +21,7 @@ from dataclasses import dataclass, replace
 
 from larkspur.functions import catalogue as C
 
-MAX_DEPTH, MAX_REPAIRS, MAX_TEXT = 8, 60, 1 << 20
+MAX_DEPTH, MAX_REPAIRS = 8, 60
 HARD = {"Decoded", "Deobfuscated"}
 _SHELL, _CODE, _SINKS, _DOWNLOADS = map(frozenset, (C.SHELL_COMMANDS, C.CODE_EXEC, C.EXFIL_SINKS, C.DOWNLOADS))
 _SOURCE_OF = {name: kind for kind, names in C.CALL_TAINTS.items() for name in names}
@@ -215,7 +215,7 @@ class Walk:
     """One pass over a tree; ``facts`` holds what it found."""
 
     def __init__(self, source: str, is_setup: bool = False, depth: int = 0, outer: tuple[int, int] | None = None):
-        self.tree, self.source = parse(source[:MAX_TEXT] if depth else source)
+        self.tree, self.source = parse(source)
         self.is_setup, self.depth, self.outer = is_setup, depth, outer
         self.given_up = self.tree is not None and self.source != source and all(isinstance(s, ast.Pass) for s in self.tree.body)
         self.data = self.source.encode("utf-8", "replace")
@@ -269,12 +269,17 @@ class Walk:
 
     def nested(self, text: str | None, node: ast.AST) -> None:
         """Facts of a source text inside this one, at the place of the outer expression."""
-        if text and self.depth < MAX_DEPTH and len(text) > 4 and re.search(r"[(=]|import ", text):
+        if text and len(text) > 4 and re.search(r"[(=]|import ", text):
+            if self.depth >= MAX_DEPTH:
+                self.emit("error", node, "nested too deep")
+                return
             inner = Walk(text.replace("\\n", "\n"), False, self.depth + 1, self.span(node))
             if inner.tree is not None:
                 for f in inner.run():
                     f["ord"] = len(self.facts)
                     self.facts.append(f)
+            else:
+                self.emit("error", node, "nested text not parsed")
 
     # -- statements ----------------------------------------------------
     def body(self, statements: list[ast.stmt]) -> None:

@@ -1,5 +1,6 @@
 """Analysis, rules, archives and the landing-folder stream on small sources."""
 
+import base64
 import io
 import tarfile
 import zipfile
@@ -114,3 +115,18 @@ def test_any_number_of_bad_lines(many):
 
 def test_what_does_not_parse_is_told():
     assert ("error", "not parsed") in _named("x = " + "(" * 3000 + ")" * 3000)
+
+
+def test_long_nested_texts_are_read_whole():
+    payload = "# padded " + "x" * (1 << 20) + "\n" + "import os\nos.system('ls')\n"
+    coded = base64.b64encode(payload.encode()).decode()
+    assert len(payload) > 1 << 20
+    assert ("exec", "os.system") in _named(f"import base64\nexec(base64.b64decode('{coded}'))\n")
+    assert ("exec", "os.system") in _named(f"exec(bytes.fromhex('{payload.encode().hex()}'))\n")
+
+
+def test_nesting_that_is_not_followed_is_told():
+    source = "eval(x)\n"
+    for _ in range(12):
+        source = f"import base64\nexec(base64.b64decode('{base64.b64encode(source.encode()).decode()}'))\n"
+    assert ("error", "nested too deep") in _named(source)
