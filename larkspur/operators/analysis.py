@@ -22,6 +22,8 @@ from dataclasses import dataclass, replace
 from larkspur.functions import catalogue as C
 
 MAX_DEPTH, MAX_REPAIRS = 8, 60
+#: Statements of local functions that a file's calls may evaluate once more; beyond it an ``error`` fact is given.
+MAX_INLINED = 500_000
 HARD = {"Decoded", "Deobfuscated"}
 _SHELL, _CODE, _SINKS, _DOWNLOADS = map(frozenset, (C.SHELL_COMMANDS, C.CODE_EXEC, C.EXFIL_SINKS, C.DOWNLOADS))
 _SOURCE_OF = {name: kind for kind, names in C.CALL_TAINTS.items() for name in names}
@@ -51,7 +53,7 @@ EXTRA, SUSPICIOUS, PYTHON, LEAST_HIGH = 1, 2, 4, 8
 NOTHING = Value()
 
 
-@dataclass
+@dataclass(eq=False)
 class Function:
     names: list
     returns: list
@@ -230,6 +232,9 @@ class Walk:
         self.modules: set[str] = set()
         self.downloaded: dict[str, dict] = {}
         self.inlined, self.inline_depth = 0, 0
+        self.unread: ast.Call | None = None
+        self.results: dict[tuple, list[Value]] = {}
+        self.used: dict[Function, tuple[frozenset, int]] = {}
 
     # -- facts ---------------------------------------------------------
     def span(self, node: ast.AST) -> tuple[int, int]:
@@ -250,6 +255,8 @@ class Walk:
         # a text of which every statement was given up is not read either; within other texts that is mere prose
         if self.tree is None or (not self.depth and self.given_up):
             self.emit("error", self.outer or (0, 0), "not parsed")
+        if self.unread is not None:
+            self.emit("error", self.unread, "calls not evaluated")
         names = {f["name"] for f in self.facts if f["kind"] in ("call", "exec")}
         spawns = bool(names & _SHELL) or "pty.spawn" in names
         for f in self.facts:
@@ -566,7 +573,7 @@ class Walk:
         items = None
         elements = over.items if over.items is not None else tuple(Value(text=c) for c in over.text) if over.text is not None else None
         plain = len(e.generators) == 1 and isinstance(e.generators[0].target, ast.Name) and not e.generators[0].ifs
-        if plain and elements is not None and not isinstance(e, ast.DictComp) and len(elements) <= 65_536:
+        if plain and elements is not None and not isinstance(e, ast.DictComp):
             quiet, kept = self.facts, []
             for element in elements:  # facts of the copies are not those of the source
                 self.facts = []
@@ -653,6 +660,24 @@ class Walk:
                 items = (*items[: args[0].number], args[1], *items[args[0].number :])
         self.scopes[-1][name] = replace(old, items=items, taints=old.taints.union(*(a.taints for a in args)))
 
+    def call_key(self, made: Function, given: dict) -> tuple:
+        """All that the result of a call depends on: its arguments and what the names in the body mean now."""
+        todo, met, seen = [made], [], set()
+        while todo:
+            f = todo.pop()
+            if f in seen:
+                continue
+            seen.add(f)
+            if f not in self.used:
+                nodes = [n for s in f.body or [] for n in ast.walk(s)]
+                self.used[f] = frozenset(n.id for n in nodes if isinstance(n, ast.Name)), sum(isinstance(n, ast.stmt) for n in nodes)
+            for name in sorted(self.used[f][0] - given.keys() if f is made else self.used[f][0]):
+                v = self.lookup(name)
+                met.append((name, v))
+                if v.function is not None:
+                    todo.append(v.function)
+        return made, self.inline_depth, tuple(sorted(given.items(), key=lambda x: str(x[0]))), tuple(met), tuple(self.classes[-1].items()) if self.classes else ()
+
     def inline(self, e: ast.Call, callee: Value, args: list[Value], named: dict, flow: frozenset, params: frozenset) -> Value:
         made: Function = callee.function
         given = dict(zip(made.names, args)) | named
@@ -668,14 +693,19 @@ class Walk:
                 if self.functions:
                     self.functions[-1].leaks.append((q, kind, label, hard))
         returns = made.returns
-        if made.body and self.inline_depth < 2 and self.inlined < 500 and given:
+        if made.body and self.inline_depth < 2 and given and (key := self.call_key(made, given)) in self.results:
+            returns = self.results[key] + returns
+        elif made.body and self.inline_depth < 2 and given and self.inlined >= MAX_INLINED:
+            self.unread = self.unread or e
+        elif made.body and self.inline_depth < 2 and given:
             # once more with what this call passes; the facts are recorded already
-            self.inlined, self.inline_depth = self.inlined + 1, self.inline_depth + 1
+            self.inlined, self.inline_depth = self.inlined + self.used[made][1], self.inline_depth + 1
             kept, self.facts = self.facts, []
             self.scopes.append(given)
             self.functions.append(Function(made.names, [], []))
             self.body(made.body)
-            returns = self.functions.pop().returns + returns
+            self.results[key] = self.functions.pop().returns
+            returns = self.results[key] + returns
             self.scopes.pop()
             self.facts, self.inline_depth = kept, self.inline_depth - 1
         taints = flow.union(*(r.taints for r in returns))

@@ -130,3 +130,28 @@ def test_nesting_that_is_not_followed_is_told():
     for _ in range(12):
         source = f"import base64\nexec(base64.b64decode('{base64.b64encode(source.encode()).decode()}'))\n"
     assert ("error", "nested too deep") in _named(source)
+
+
+_PICK = "def pick(m, a):\n    import importlib\n    return getattr(importlib.import_module(m), a)\n"
+
+
+@pytest.mark.parametrize("calls", ["help(1)\n" * 2000, "".join(f"help({i})\n" for i in range(2000)), "".join(f"help(help({i}))\n" for i in range(1000))])
+def test_calls_after_many_others_are_evaluated(calls):
+    found = _named(f"def help(x):\n    return x\n{_PICK}{calls}pick('os', 'get' + 'login')()\n")
+    assert ("call", "os.getlogin") in found and not any(k == "error" for k, _ in found)
+
+
+def test_equal_calls_see_what_names_mean_by_then():
+    found = _named("m = 'os'\ndef at(a):\n    return getattr(__import__(m), a)\nat('system')('ls')\nm = 'subprocess'\nat('system')('ls')\nat('Popen')('ls')\n")
+    assert [n for k, n in found if k == "exec"] == ["os.system", "subprocess.Popen"]
+
+
+def test_a_budget_that_is_hit_is_told(monkeypatch):
+    monkeypatch.setattr("larkspur.operators.analysis.MAX_INLINED", 10)
+    assert ("error", "calls not evaluated") in _named("def help(x):\n    return x\n" + "".join(f"help({i})\n" for i in range(20)))
+
+
+def test_long_comprehensions_are_folded():
+    payload = "#" + "x" * 70_000 + "\nimport os\nos.system('ls')\n"
+    source = f"exec(''.join([chr(c) for c in {[ord(c) for c in payload]}]))\n"
+    assert ("exec", "os.system") in _named(source)
