@@ -8,7 +8,8 @@ rounds.  Both are then calibrated on labelled rows kept out of training, and a
 logistic model of their calibrated logits scores every document.
 
 Fitting uses at most ``TRAIN_ROWS`` labelled and ``POOL_ROWS`` unlabelled
-documents, by hash order of their ids; scoring covers all.
+documents, by hash order of their ids; scoring covers all.  So pseudo-labels
+are exchanged over a sample of a larger unlabelled corpus, not over all of it.
 """
 
 from __future__ import annotations
@@ -148,9 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, pool_r
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     rows = _with_meta(docs)
     train = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    # twice the pool by hash order, of which those without a label stay
-    near = rows.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * pool_rows).distinct()
-    pool = near.join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id")).limit(pool_rows).withColumn("quality", F.lit(-1))
+    # of all ids without a label, those first by hash order
+    free = rows.select("doc_id").where("doc_id IS NOT NULL").distinct().join(known, "doc_id", "left_anti")
+    pool = free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool_rows).withColumn("quality", F.lit(-1))
     wanted = F.broadcast(cut(train.unionByName(pool)))  # at most train_rows + pool_rows ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
