@@ -1,17 +1,24 @@
 """Surrogates: equal for equal values, distinct for distinct ones, and none that stands in the corpus."""
 
 import re
+import time
+
+import regex
 
 from larkspur.llm import pii
 
 SF = "/root/testdata/sf0.001"
+_ANY = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in pii.PATTERNS))
 
 
 def found(text):
-    """Kind and value of each entity, by the patterns as Python reads them."""
-    letters = lambda p: p.replace(r"[\p{L}0-9._%+-]", r"[\w.%+-]").replace(r"\p{Lu}", "[A-ZА-ЯЁÀ-ÖØ-Þ]").replace(r"\p{L}", r"[^\W\d_]")
-    pattern = "|".join(f"(?P<{k}>{letters(p)})" for k, p in pii.PATTERNS)
-    return [(m.lastgroup, m[0]) for m in re.finditer(pattern, text or "")]
+    """Kind and value of each entity, by the patterns as the regex module reads them."""
+    return [(m.lastgroup, m[0]) for m in _ANY.finditer(text or "")]
+
+
+def replaced(spark, texts, key="k"):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in sorted(pii.pseudonymise(docs, key).collect(), key=lambda r: r.doc_id)]
 
 
 ROWS = [
@@ -67,14 +74,61 @@ def test_surrogates_of_whole_table(spark):
 def test_collisions_draw_again(spark):
     from pyspark.sql import functions as F
 
-    def poor(value, draw, key):  # few surrogates, so that first draws collide
-        return F.concat(F.lit("s"), (F.length(value) % 2 + draw).cast("string"), F.when(draw > 0, value).otherwise(""))
+    def poor(kind, core, draw, key):  # few surrogates, so that first draws collide
+        return F.concat(F.lit("s"), (F.length(core) % 2 + draw).cast("string"), F.when(draw > 0, F.concat(core, F.lit("x"))).otherwise(""))
 
     rows = [(k, f"user{k}@corp.example.org") for k in range(20)]
     got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k", poor).collect()
     assert len({r.text for r in got}) == 20
 
 
+def test_people_stay_themselves(spark):
+    one, other = replaced(spark, ["Mr Adam Smith. Dr Adam Smith; Mr. Adam Smith, Mr Smith and Mrs Eva Smith, Mr Adam Jones", "Mr Tiffan Smith, Dr Tiffan SMITH, господин Иван Петров, госпожа Анна Петрова"])
+    m = re.match(r"Mr (\w+) (\w+)\. Dr (\w+) (\w+); Mr\. (\w+) (\w+), Mr (\w+) and Mrs (\w+) (\w+), Mr (\w+) (\w+)$", one)
+    given, family = m[1], m[2]
+    assert (m[3], m[4], m[5], m[6], m[7], m[9], m[10]) == (given, family, given, family, family, family, given)
+    assert given in pii.GIVEN["latin", "m"] and given != "Adam" and m[8] in pii.GIVEN["latin", "f"] and m[11] != family
+    m = re.match(r"Mr (\w+) (\w+), Dr (\w+) (\w+), господин (\w+) (\w+), госпожа (\w+) (\w+)$", other)
+    assert m[1] == m[3] and m[2] == family and m[4] == family.upper()
+    assert m[5] in pii.GIVEN["cyrillic", "m"] and m[7] in pii.GIVEN["cyrillic", "f"] and regex.fullmatch(r"\p{Cyrillic}+", m[6] + m[8])
+
+
+def test_script_format_and_check_digits(spark):
+    mail, cards, phones = replaced(spark, ["иван@corp.example.org Ann.Lee@Corp.Example.org ann.lee@corp.example.org", "4111 1111 1111 1111 and 4111111111111111", "+1 (826) 555-4081, +1-826-555-4081"])
+    a, b, c = mail.split()
+    assert regex.fullmatch(r"\p{Cyrillic}{4}@[a-z]{4}\.[a-z]{7}\.org", a) and b.split("@")[0].lower() == c.split("@")[0] and regex.fullmatch(r"\p{Lu}\p{Ll}{2}\.\p{Lu}\p{Ll}{2}@.*", b)
+    assert len({x.split("@")[1] for x in (a, b, c)}) == 1
+    first, second = cards.split(" and ")
+    assert first.replace(" ", "") == second and first[0] == "4"
+    luhn = [int(d) for d in reversed(second)]
+    assert sum(luhn[::2] + [d * 2 - 9 * (d > 4) for d in luhn[1::2]]) % 10 == 0
+    first, second = phones.split(", ")
+    assert re.sub(r"\D", "", first) == re.sub(r"\D", "", second) and first.startswith("+1 (") and first[4:7] != "826"
+
+
+def test_small_spaces_never_end(spark):
+    boxes = [f"{c}@one.org" for c in "abcdefghijklmnopqrstuvwxyzéèüß0123456789"]
+    got = replaced(spark, [*boxes, "x@two.org"])
+    assert len(set(got)) == len(boxes) + 1
+    assert len({x.split("@")[1] for x in got}) == 2
+
+
+def test_very_long_texts_take_time_in_proportion(spark):
+    texts = ["a" * 1_000_000, "a1." * 300_000 + "@x.org", "+1.22.33.44" * 20_000, "a@" * 300_000, "0123456789abcdef" * 60_000]
+    began = time.time()
+    got = replaced(spark, texts)
+    assert [got[i] == texts[i] for i in range(5)] == [True, False, False, True, True]
+    assert time.time() - began < 60
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a@one.org", 7, "f", "k")], "doc_id long, text string, n_entities int, found string, _k1 string")
+    got = pii.pseudonymise(docs, "k")
+    assert got.columns == [*docs.columns, "n_entities_"]
+    row = got.first()
+    assert (row.n_entities, row.found, row._k1, row.n_entities_) == (7, "f", "k", 1)
+
+
 def test_secrets_of_either_case(spark):
     low = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
     mixed = "9233A8ecf7c5B09FE5949719b6b82bc439e9329B"
