@@ -27,9 +27,11 @@ hash.  Steps:
    bounds their overlap.
 
 Verification applies a suffix filter (sizes of 16 hash ranges of the two sets
-bound their overlap) before it counts the overlap, once for each pair.  A
-posting list too long for a task is dealt to several by class and joined again
-block by block.
+bound their overlap) before it counts the overlap, once for each pair.  Pairs
+are dealt by the member that stands in most of them, ``EACH`` to a group: its
+text comes once to each group and not once to each pair.  A posting list of
+more than about ``HOT`` classes is dealt to parts by class, and each two parts
+meet in a group of their own.
 """
 
 from __future__ import annotations
@@ -51,8 +53,10 @@ from larkspur.llm._text import NOT_SPACE, Words, as_bytes, chunks, grams, mix
 SHINGLE, PERCENT = 5, 75
 COUNT_BITS, KEY_BITS = 20, 23
 BUCKET_TUPLES = 600_000
-#: A shingle that so many documents more than usual hold is dealt to several tasks.
-HOT = 100_000
+#: A shingle that so many documents more than usual hold is dealt to several parts.
+HOT = 4096
+#: Pairs that share the text of their hub.
+EACH = 256
 
 _TUPLE = np.dtype([("g", "<u8"), ("c", "<u8"), ("n", "<u4"), ("pos", "<u2"), ("parts", "<u2")])
 _LISTS = "shingle long, part int, codes array<long>, sizes array<long>"
@@ -374,26 +378,30 @@ def _cross_pairs(percent: int, two: bool):
 
 
 def verify(size: int, percent: int):
-    """Pairs with both texts to the pairs whose sets overlap enough."""
+    """Rows (hub, member, text), a hub's own text with a null member before its members, to the pairs whose sets overlap enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                m = batch.num_rows
-                doc, g = shingle_sets(as_bytes(batch.column(2)) + as_bytes(batch.column(3)), size)
-                n = np.bincount(doc, minlength=2 * m)
-                # suffix filter: the sets differ at least by the differences of their parts' sizes
-                parts = np.bincount(doc * 16 + (g >> np.uint64(60)).astype(np.int64), minlength=32 * m).reshape(2, m, 16)
-                most = np.minimum(parts[0], parts[1]).sum(1)
-                left = 100 * most >= percent * (n[:m] + n[m:] - most)
-                pair = doc % m
-                pair, g = pair[left[pair]], g[left[pair]]
-                order = np.lexsort((g, pair))
-                pair, g = pair[order], g[order]
-                both = np.bincount(pair[1:][(g[1:] == g[:-1]) & (pair[1:] == pair[:-1])], minlength=m)
-                ok = left & (both > 0) & (100 * both >= percent * (n[:m] + n[m:] - both))
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
+        held: tuple[int, bytes | None] = (0, b"")  # the hub that the last chunk ended with
+        for batch in chunks(batches):
+            hub_ids, texts = batch.column(0).to_numpy(), [held[1], *as_bytes(batch.column(2))]
+            is_hub = np.concatenate([[True], batch.column(1).is_null().to_numpy(zero_copy_only=False)])
+            hub = np.maximum.accumulate(np.where(is_hub, np.arange(len(is_hub)), 0))
+            held = int(hub_ids[-1]), texts[hub[-1]]
+            doc, g = shingle_sets(texts, size)
+            n = np.bincount(doc, minlength=len(texts))
+            # suffix filter: the sets differ at least by the differences of their parts' sizes
+            parts = np.bincount(doc * 16 + (g >> np.uint64(60)).astype(np.int64), minlength=16 * len(texts)).reshape(-1, 16)
+            most = np.minimum(parts, parts[hub]).sum(1)
+            left = ~is_hub & (100 * most >= percent * (n + n[hub] - most))
+            owner = mix(hub.astype(np.uint64), 21)
+            of_hub, of_member = is_hub[doc], left[doc]
+            keys = np.sort(mix(g[of_hub] + owner[doc[of_hub]]))
+            mine = mix(g[of_member] + owner[doc[of_member]])
+            at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
+            both = np.bincount(doc[of_member][keys[at] == mine] if len(keys) else np.zeros(0, int), minlength=len(texts))
+            ok = (left & (both > 0) & (100 * both >= percent * (n + n[hub] - both)))[1:]
+            a, b = hub_ids[ok], batch.column(1).filter(pa.array(ok)).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
@@ -401,11 +409,13 @@ def verify(size: int, percent: int):
 def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """Groups the rows of ``docs`` (doc_id, text, ...) by links of a Jaccard index of ``percent`` or more.
 
-    Returns per row doc_id, _k1, _k2 (its content key), n_shingles and
-    component_id, the least doc_id that its links reach, itself included.
-    Null, empty and wordless texts have no shingles and no links.  Rows that
-    repeat a text are one class, whatever their ids; null ids are passed over
-    for component_id unless a group has no other.
+    Returns per row doc_id, _k1, _k2 (its content key), n_shingles,
+    component_id, the least doc_id that its links reach, itself included, and
+    group, a number of the component.  Null, empty and wordless texts have no
+    shingles, no links and a null group.  Texts of any length are read whole.
+    Rows that repeat a text are one class, whatever their ids; null ids are
+    passed over for component_id unless a group has no other.  Other columns of
+    ``docs`` are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     keyed = docs.select("doc_id", *row_key("doc_id", "text"), "text")
@@ -417,6 +427,7 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hot: i
 
     packed = docs.select("text").mapInArrow(_prefixes(size, percent, partitions_for(tuples, BUCKET_TUPLES), counts, hot), "bucket long, tuples binary")
     found = cut(packed.groupBy("bucket").applyInArrow(_posting_lists, _LISTS))
+    counts.destroy()
 
     def numbers(part: int) -> DataFrame:
         return found.where(F.col("part") == part).select(F.explode(F.arrays_zip("codes", "sizes")).alias("x")).select(F.col("x.codes").alias("c"), F.col("x.sizes").alias("x"))
@@ -441,8 +452,11 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hot: i
     theirs = [f"{name}2" for name in mine]
     more = labelled.where("k > 1").select(*mine).mapInArrow(_cross_pairs(percent, False), "a long, b long")
     dealt = labelled.where("shingle IS NOT NULL")
-    other = dealt.select("shingle", F.col("part").alias("part2"), *[F.col(a).alias(b) for a, b in zip(mine, theirs)])
-    across = dealt.join(other, "shingle").where("part < part2 AND (k > 1 OR exists(roots2, x -> x <> roots[0]))")
+    dealt = dealt.join(dealt.groupBy("shingle").agg((F.max("part") + 1).alias("parts")), "shingle")
+    # each two parts of a list meet under a key of their own
+    before = dealt.where("part > 0").select("shingle", F.col("part").alias("hi"), F.explode(F.expr("sequence(0, part - 1)")).alias("lo"), *[F.col(a).alias(b) for a, b in zip(mine, theirs)])
+    after = dealt.where("part < parts - 1").select("shingle", F.col("part").alias("lo"), F.explode(F.expr("sequence(part + 1, parts - 1)")).alias("hi"), "k", *mine)
+    across = after.join(before, ["shingle", "lo", "hi"]).where("k > 1 OR exists(roots2, x -> x <> roots[0])")
     more = more.unionByName(across.select(*mine, *theirs).mapInArrow(_cross_pairs(percent, True), "a long, b long"))
     late = cut(more.distinct().join(pairs, ["a", "b"], "left_anti"))
     if not late.isEmpty():
@@ -451,8 +465,8 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hot: i
     classes = rows.where("n > 0").groupBy("n", "c", "c2").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots.withColumnRenamed("node", "c"), "c", "left")
     linked = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("reached"))
-    rooted = rooted.join(linked, "root", "left").select("n", "c", "c2", F.coalesce("reached", "least").alias("component_id"))
-    return rows.join(rooted, ["n", "c", "c2"], "left").select("doc_id", "_k1", "_k2", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    rooted = rooted.join(linked, "root", "left").select("n", "c", "c2", F.coalesce("reached", "least").alias("component_id"), F.coalesce("root", "c").alias("group"))
+    return rows.join(rooted, ["n", "c", "c2"], "left").select("doc_id", "_k1", "_k2", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "group")
 
 
 def _class_texts(keyed: DataFrame, rows: DataFrame, lists: DataFrame) -> DataFrame:
@@ -462,20 +476,29 @@ def _class_texts(keyed: DataFrame, rows: DataFrame, lists: DataFrame) -> DataFra
     slots = np.zeros(1 << KEY_BITS, bool)
     taken = one.select(F.shiftrightunsigned("_k1", 64 - KEY_BITS).alias("s")).distinct().toArrow()  # at most 2^23 numbers
     slots[taken.column(0).to_numpy()] = True
+    bits = np.packbits(slots)
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - KEY_BITS)
-            yield batch.filter(pa.array(slots[at.astype(np.int64)]))
+            at = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
 
-    some = keyed.select("_k1", "_k2", "text").mapInArrow(maybe, "_k1 long, _k2 long, text string")
-    return cut(some.join(one, ["_k1", "_k2"]).select("c", "text").dropDuplicates(["c"]))
+    # rows that repeat id and text are one before the exchange
+    some = keyed.select("_k1", "_k2", "text").mapInArrow(maybe, "_k1 long, _k2 long, text string").dropDuplicates(["_k1", "_k2"])
+    return cut(some.join(one, ["_k1", "_k2"]).select("c", "text"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    a, b = texts.select(F.col("c").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("c").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(verify(size, percent), "a long, b long")
+    """The pairs (a, b) whose texts' sets overlap enough."""
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("d"))
+    known = pairs.join(degree.select(F.col("c").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("c").alias("b"), F.col("d").alias("db")), "b")
+    hub, other = (F.when(F.col("db") > F.col("da"), F.col(x)).otherwise(F.col(y)) for x, y in (("b", "a"), ("a", "b")))
+    dealt = known.select(hub.alias("hub"), other.alias("member"), F.ceil(F.greatest("da", "db") / EACH).alias("groups"))
+    dealt = cut(dealt.select("hub", "member", F.pmod(F.xxhash64("member"), "groups").alias("salt")))
+    members = dealt.join(texts.withColumnRenamed("c", "member"), "member").select("hub", "salt", "member", "text")
+    hubs = dealt.select("hub", "salt").distinct().join(texts.withColumnRenamed("c", "hub"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("member"), "text")
+    rows = members.unionByName(hubs).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
+    return rows.select("hub", "member", "text").mapInArrow(verify(size, percent), "a long, b long")
 
 
 def _attached(lists: DataFrame, values: DataFrame, name: str) -> DataFrame:
