@@ -173,12 +173,13 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows, in batches of at most ``limit`` bytes of text or one row."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, at: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows, in batches of at most ``limit`` bytes of text (column ``at`` or of that name) or one row."""
+    where = at
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column)))
+        sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column) if where is None else where))
         total = np.cumsum(np.nan_to_num(sizes.to_numpy(zero_copy_only=False).astype(float)))
         at = 0
         while at < batch.num_rows:

@@ -1,15 +1,17 @@
 """Document quality by co-training two views.
 
 One classifier sees the text (shares of characters, repetition, line shapes),
-the other the page's metadata (source, language, stated length).  Starting from
-the labelled rows, each labels the rows of an unlabelled pool that it is most
-confident of, and these join the other's training rows; this goes on for some
-rounds.  Both are then calibrated on labelled rows kept out of training, and a
+the other the page's metadata (source, language, stated length).  Both start
+from the labelled rows.  In each round either labels the unlabelled documents
+that it is confident of, and the other is trained on these beside the labelled
+rows.  Both are then calibrated on labelled rows kept out of training, and a
 logistic model of their calibrated logits scores every document.
 
-Fitting uses at most ``TRAIN_ROWS`` labelled and ``POOL_ROWS`` unlabelled
-documents, by hash order of their ids; scoring covers all.  So pseudo-labels
-are exchanged over a sample of a larger unlabelled corpus, not over all of it.
+The labelled rows of a fit are at most ``TRAIN_ROWS``, by hash order.  Pseudo-
+labels are exchanged over all unlabelled documents: each of Newton's steps is
+a pass over a table of their features, a hundredth of their texts' size, in
+which every partition sums gradients and Hessians.  The pseudo-labelled rows
+of a class together weigh ``PSEUDO`` times as much as its labelled ones.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from larkspur.llm._learn import Logistic
 from larkspur.llm._spark import cut, row_key, table
 from larkspur.llm._text import NOT_SPACE, Words, as_bytes, chunks
 
-TRAIN_ROWS, POOL_ROWS, ROUNDS, CONFIDENT, STEP_SHARE = 12_000, 12_000, 5, 0.95, 0.1
+TRAIN_ROWS, ROUNDS, STEPS, CONFIDENT, PSEUDO, PENALTY = 12_000, 4, 2, 0.95, 0.5, 1e-3
 SOURCES, LANGS = 64, 8
+#: Sums of more partitions are first added up in so many tasks.
+ADDERS = 64
 #: A document is kept unless its score is below this.
 KEEP_FROM = 0.5
 
@@ -79,14 +83,21 @@ def text_features(texts: list[bytes | None]) -> np.ndarray:
     return np.column_stack([np.asarray(c, float) for c in columns])
 
 
-def meta_features(lang: list[str | None], source: list[str | None], n_chars: list[int | None]) -> np.ndarray:
+def meta_codes(lang: list[str | None], source: list[str | None], n_chars: list[int | None]) -> np.ndarray:
+    """Slots of source and language, log length, and flags of an unknown length and source."""
+    slot = lambda x, n: zlib.crc32((x or "").encode()) % n
+    rows = [(slot(b, SOURCES), slot(a, LANGS), np.log1p(max(c or 0, 0)), c is None, b is None) for a, b, c in zip(lang, source, n_chars)]
+    return np.array(rows, np.float32).reshape(-1, 5)
+
+
+def meta_features(codes: np.ndarray) -> np.ndarray:
     """Source and language by hashed one-hot columns, and the stated length."""
-    out = np.zeros((len(lang), SOURCES + LANGS + 4))
-    for i, (a, b, c) in enumerate(zip(lang, source, n_chars)):
-        out[i, zlib.crc32((b or "").encode()) % SOURCES] = 1
-        out[i, SOURCES + zlib.crc32((a or "").encode()) % LANGS] = 1
-        size = np.log1p(max(c or 0, 0))
-        out[i, SOURCES + LANGS :] = (size, size * size, c is None, b is None)
+    out = np.zeros((len(codes), SOURCES + LANGS + 4))
+    at = np.arange(len(codes))
+    out[at, codes[:, 0].astype(int)] = 1
+    out[at, SOURCES + codes[:, 1].astype(int)] = 1
+    size = codes[:, 2].astype(float)
+    out[:, SOURCES + LANGS :] = np.column_stack([size, size * size, codes[:, 3], codes[:, 4]])
     return out
 
 
@@ -103,27 +114,26 @@ class Model:
         return 1 / (1 + np.exp(-a)), 1 / (1 + np.exp(-b)), self.both(np.column_stack([a, b]))
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> Model:
-    """Fits on labelled rows (every fifth kept for calibration) and an unlabelled pool."""
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool_sums=None, rounds: int = ROUNDS) -> Model:
+    """Fits on labelled rows (every fifth kept for calibration) and an unlabelled pool.
+
+    ``pool_sums(teachers, students)`` gives for each view the sums of its
+    student over the pool's rows that the other view's teacher is confident are
+    good, and over those that it is confident are bad.
+    """
     kept = np.arange(len(y)) % 5 == 4
-    extra: list[dict[int, int]] = [{}, {}]  # pool row -> label, for each view's training
-
-    def fitted(v: int) -> Logistic:
-        more = np.array(sorted(extra[v]), int)
-        labels = np.array([extra[v][i] for i in more.tolist()], float)
-        x = np.vstack([views[v][~kept], pool[v][more]])
-        weight = np.concatenate([np.ones((~kept).sum()), np.full(len(more), 0.5)])
-        return Logistic.fit(x, np.concatenate([y[~kept], labels]), penalty=1e-3, sample_weight=weight)
-
-    models = [fitted(0), fitted(1)]
-    for _ in range(rounds if len(pool[0]) and (~kept).any() else 0):
-        for v in (0, 1):
-            p = models[v](pool[v])
-            most = max(1, int(STEP_SHARE * len(p)))
-            for label, sure in ((1, p), (0, 1 - p)):
-                free = np.array([i for i in np.argsort(-sure, kind="stable") if sure[i] >= CONFIDENT and int(i) not in extra[1 - v]][:most], int)
-                extra[1 - v].update((int(i), label) for i in free)
-        models = [fitted(0), fitted(1)]
+    models = [Logistic.fit(v[~kept], y[~kept], penalty=PENALTY) for v in views]
+    for _ in range(rounds if pool_sums is not None and (~kept).any() else 0):
+        teachers = models
+        for _ in range(STEPS):
+            more, after = pool_sums(teachers, models), []
+            for v in (0, 1):
+                total = models[v].sums(views[v][~kept], y[~kept])
+                for label in (1, 0):
+                    mine = more[v][label]
+                    total = total + mine * (PSEUDO * (y[~kept] == label).sum() / max(mine[0], 1.0))
+                after.append(models[v].stepped(total, PENALTY))
+            models = after
     held = [models[v].logit(views[v][kept])[:, None] for v in (0, 1)]
     scales = [Logistic.fit(np.vstack([x, [[-3.0]], [[3.0]]]), np.append(y[kept], [0, 1])) for x in held]
     both = np.column_stack([s.logit(x) for s, x in zip(scales, held)])
@@ -141,31 +151,75 @@ def _with_meta(docs: DataFrame) -> DataFrame:
 
 
 def _measured(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
-    return text_features(as_bytes(batch.column(at))), meta_features(*(batch.column(at + 1 + i).to_pylist() for i in range(3)))
-
-
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, pool_rows: int = POOL_ROWS) -> Model:
-    """Learns from ``labels`` (doc_id, quality, ...) and from documents without one."""
+    return text_features(as_bytes(batch.column(at))), meta_features(meta_codes(*(batch.column(at + 1 + i).to_pylist() for i in range(3))))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text and metadata -> doc_id and both views as bytes of 32-bit numbers."""
+    for batch in chunks(batches):
+        a, b = text_features(as_bytes(batch.column(1))).astype(np.float32), meta_codes(*(batch.column(2 + i).to_pylist() for i in range(3)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (a, b))], names=["doc_id", "a", "b"])
+
+
+def _views(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.frombuffer(b"".join(x.to_pylist()), np.float32).reshape(len(x), -1) for x in (a, b))
+    return a.astype(float), meta_features(b)
+
+
+def _pool_sums(pool: DataFrame):
+    """The sums of ``co_train`` over a table of packed views."""
+    many = pool.rdd.getNumPartitions() > ADDERS
+
+    def sums(teachers: list[Logistic], students: list[Logistic]):
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = _views(batch.column(0), batch.column(1))
+                p = [t(x[v]) for v, t in enumerate(teachers)]
+                parts = []
+                for v in (0, 1):
+                    for sure, label in ((p[1 - v] <= 1 - CONFIDENT, 0.0), (p[1 - v] >= CONFIDENT, 1.0)):
+                        parts.append(students[v].sums(x[v][sure], np.full(sure.sum(), label)))
+                total = np.concatenate(parts) + (0 if total is None else total)
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = sum(np.frombuffer(x, float) for batch in batches for x in batch.column(0).to_pylist())
+            if isinstance(total, np.ndarray):
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        rows = pool.mapInArrow(of, "sums binary")
+        if many:
+            rows = rows.repartition(ADDERS).mapInArrow(added, "sums binary")
+        sizes = [2 + len(s.weights) + (1 + len(s.weights)) ** 2 for s in students]
+        total = sum((np.frombuffer(x, float) for x in rows.toArrow().column(0).to_pylist()), np.zeros(2 * sum(sizes)))
+        cuts = np.split(total, np.cumsum([sizes[0], sizes[0], sizes[1]]))
+        return (cuts[0], cuts[1]), (cuts[2], cuts[3])
+
+    return sums
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+    """Learns from at most ``train_rows`` rows of ``docs`` with a label, by hash order, and from all without one.
+
+    Of labels (doc_id, quality, ...) null ids and null labels are passed over,
+    and of several labels the least counts.  Columns lang, source and n_chars
+    that ``docs`` lacks count as null.  Without any labelled row the model
+    keeps everything.
+    """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    rows = _with_meta(docs)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    packed = cut(_with_meta(docs).mapInArrow(_packed, f"doc_id {id_type}, a binary, b binary"))
     train = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    # of all ids without a label, those first by hash order
-    free = rows.select("doc_id").where("doc_id IS NOT NULL").distinct().join(known, "doc_id", "left_anti")
-    pool = free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool_rows).withColumn("quality", F.lit(-1))
-    wanted = F.broadcast(cut(train.unionByName(pool)))  # at most train_rows + pool_rows ids
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            a, b = _measured(batch, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a.tolist(), pa.list_(pa.float64())), pa.array(b.tolist(), pa.list_(pa.float64()))], names=["h", "quality", "a", "b"])
-
-    sample = rows.join(wanted, "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "quality", "text", *_META)
-    got = sample.mapInArrow(run, "h long, quality int, a array<double>, b array<double>").orderBy("h").toArrow()
-    y = got.column("quality").to_numpy()
-    a, b = (np.array(got.column(c).to_pylist(), float) for c in ("a", "b"))
-    if not (y >= 0).any():  # nothing to learn from: keep everything
-        a, b, y = text_features([b""]), meta_features([None], [None], [None]), np.array([1])
-    return co_train((a[y >= 0], b[y >= 0]), y[y >= 0].astype(float), (a[y < 0], b[y < 0]))
+    sample = packed.join(F.broadcast(train), "doc_id").select("quality", "a", "b", F.xxhash64("doc_id", "a", "b").alias("h"))  # at most train_rows ids
+    got = sample.orderBy("h", "quality").limit(train_rows).toArrow()
+    if not got.num_rows:  # nothing to learn from: keep everything
+        return co_train((text_features([b""]), meta_features(meta_codes([None], [None], [None]))), np.array([1.0]))
+    pool = cut(packed.join(known, "doc_id", "left_anti").select("a", "b"))
+    return co_train(_views(got.column("a"), got.column("b")), got.column("quality").to_numpy().astype(float), _pool_sums(pool))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -187,13 +241,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, lang, source, n_chars) whose score is at least ``keep_from``."""
-    columns = docs.columns
+    """The rows of ``docs`` (doc_id, text, ...) whose score is at least ``keep_from``; columns as in ``score``."""
+    columns = {name: i for i, name in enumerate(docs.columns)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            at = {name: batch.column(i) for i, name in enumerate(columns)}
-            x = text_features(as_bytes(at["text"])), meta_features(*(at[c].to_pylist() for c in _META))
+        for batch in chunks(batches, at=columns["text"]):
+            meta = [batch.column(columns[c]).to_pylist() if c in columns else [None] * batch.num_rows for c in _META]
+            x = text_features(as_bytes(batch.column(columns["text"]))), meta_features(meta_codes(*meta))
             yield batch.filter(pa.array(model.views(*x)[2] >= keep_from))
 
     return docs.mapInArrow(run, docs.schema)
