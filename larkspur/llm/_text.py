@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -68,7 +68,7 @@ class Words:
         data = np.frombuffer(joined, np.uint8)
         if lower:
             data = _LOWER[data]
-        self.n_docs, self.data, self._total = len(texts), data, None
+        self.n_docs, self.data = len(texts), data
         is_word = table[data]
         edge = np.flatnonzero(np.diff(is_word, prepend=False, append=False))
         self.start, self.end = edge[::2], edge[1::2]
@@ -84,21 +84,24 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        total, down = self._sums()
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        if not len(self):
+            return np.zeros(0, np.uint64)
+        size = self.end - self.start
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)  # of each byte in its word
+        up, _ = _BYTES.get(int(size.max()))
+        values = self.data[place + np.repeat(self.start, size)].astype(np.uint64)
+        values += np.uint64(1)
+        values *= up[place]
+        return mix(np.add.reduceat(values, first))
 
     def prefix_hashes(self, at: np.ndarray, k: int) -> np.ndarray:
         """The hash of the first k bytes of the words at ``at``, which have as many."""
-        total, down = self._sums()
-        start = self.start[at]
-        return mix((total[start + k] - total[start]) * down[start])
-
-    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
-        up, down = _BYTES.get(len(self.data) + 1)
-        if self._total is None:
-            self._total = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self._total[1:])
-        return self._total, down
+        start, (up, _) = self.start[at], _BYTES.get(k)
+        total = np.zeros(len(start), np.uint64)
+        for j in range(k):
+            total += (self.data[start + j].astype(np.uint64) + np.uint64(1)) * up[j]
+        return mix(total)
 
     @staticmethod
     def split(text: str) -> list[str]:

@@ -31,7 +31,8 @@ bound their overlap) before it counts the overlap, once for each pair.  Pairs
 are dealt by the member that stands in most of them, ``EACH`` to a group: its
 text comes once to each group and not once to each pair.  A posting list of
 more than about ``HOT`` classes is dealt to parts by class, and each two parts
-meet in a group of their own.
+meet in a task of their own, as do each two blocks of ``BLOCK`` members of a
+list.
 """
 
 from __future__ import annotations
@@ -54,7 +55,9 @@ SHINGLE, PERCENT = 5, 75
 COUNT_BITS, KEY_BITS = 20, 23
 BUCKET_TUPLES = 600_000
 #: A shingle that so many documents more than usual hold is dealt to several parts.
-HOT = 4096
+HOT = 100_000
+#: Members of a list that are compared with as many others in one step; the blocks of a longer list meet in pairs.
+BLOCK = 2048
 #: Pairs that share the text of their hub.
 EACH = 256
 
@@ -436,9 +439,9 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hot: i
     known = shared.join(numbers(_ENDS), "c").groupBy("c").agg(F.struct(F.first("shared").alias("shared"), F.first("x").alias("end")).alias("known"))
     lists = cut(_attached(found.where("part >= 0").dropDuplicates(["shingle", "part", "codes"]), known, "known"))
     # the first members of the parts of a dealt list make a list of their own
-    met = lists.where("shingle IS NOT NULL").groupBy("shingle").agg(F.array_sort(F.collect_set(F.struct(F.col("codes")[0].alias("c"), F.col("sizes")[0].alias("s"), F.col("known")[0].alias("k")))).alias("m"))
-    met = met.select(F.col("m.c").alias("codes"), F.col("m.s").alias("sizes"), F.col("m.k").alias("known"))
-    paired = lists.select("codes", "sizes", "known").unionByName(met).where(F.size("codes") > 1)
+    heads = lists.where("shingle IS NOT NULL").groupBy("shingle").agg(F.array_sort(F.collect_set(F.struct(F.col("codes")[0].alias("c"), F.col("sizes")[0].alias("s"), F.col("known")[0].alias("k")))).alias("m"))
+    heads = heads.select(F.col("m.c").alias("codes"), F.col("m.s").alias("sizes"), F.col("m.k").alias("known"))
+    paired = lists.select("codes", "sizes", "known").unionByName(heads).where(F.size("codes") > 1)
     pairs = cut(paired.mapInArrow(_hub_pairs(percent), "a long, b long").distinct())
     texts = _class_texts(keyed, rows, lists)
     links = cut(_verified(pairs, texts, size, percent))
@@ -450,7 +453,15 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hot: i
     labelled = cut(_attached(labelled, compared.select("c", "text").mapInArrow(_bitmaps(size), "c long, bitmap binary"), "bitmap"))
     mine = ["codes", "sizes", "known", "roots", "bitmap"]
     theirs = [f"{name}2" for name in mine]
-    more = labelled.where("k > 1").select(*mine).mapInArrow(_cross_pairs(percent, False), "a long, b long")
+    more = labelled.where(f"k > 1 AND size(codes) <= {BLOCK}").select(*mine).mapInArrow(_cross_pairs(percent, False), "a long, b long")
+    # the blocks of a long list, each two of them under a key of their own
+    cut_at = ", ".join(f"slice({x}, i * {BLOCK} + 1, {BLOCK}) AS {x}" for x in mine)
+    long = labelled.where(f"k > 1 AND size(codes) > {BLOCK}").withColumns({"list": F.struct(F.xxhash64("shingle", "part", "codes"), F.hash("codes", "part", "shingle")), "blocks": F.expr(f"(size(codes) - 1) div {BLOCK} + 1")})
+    blocks = long.select("list", "blocks", F.expr(f"explode(transform(sequence(0L, blocks - 1), i -> struct(i, {cut_at}))) AS x"))
+    first = blocks.select("list", F.col("x.i").alias("lo"), F.expr("explode(sequence(x.i, blocks - 1))").alias("hi"), *[F.col(f"x.{a}").alias(a) for a in mine])
+    second = blocks.select("list", F.col("x.i").alias("hi"), F.expr("explode(sequence(0L, x.i))").alias("lo"), *[F.col(f"x.{a}").alias(b) for a, b in zip(mine, theirs)])
+    met = first.join(second, ["list", "lo", "hi"]).select(*mine, *theirs)
+    more = more.unionByName(met.mapInArrow(_cross_pairs(percent, True), "a long, b long"))
     dealt = labelled.where("shingle IS NOT NULL")
     dealt = dealt.join(dealt.groupBy("shingle").agg((F.max("part") + 1).alias("parts")), "shingle")
     # each two parts of a list meet under a key of their own

@@ -27,6 +27,8 @@ from larkspur.llm._text import NOT_SPACE, Words, as_bytes, chunks, grams, grams_
 
 WINDOW, MINIMISER = 35, 6
 BUCKET_BYTES = 12_000_000
+#: Text whose equal strings are merged before the exchange.
+PACK_BYTES = 4_000_000
 #: A window's words travel about so many times in super-k-mers of these sizes.
 _SPREAD = 3
 
@@ -69,8 +71,8 @@ def _pack(window: int, minimiser: int, buckets: int):
     """Texts to packed super-k-mers by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_, turn = zstandard.ZstdCompressor(level=1), 0
-        for batch in chunks(batches):
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for batch in chunks(batches, limit=PACK_BYTES):
             words = Words(as_bytes(batch.column(2)), NOT_SPACE, lower=False)
             n = len(words) - window + 1
             if n <= 0:
@@ -117,8 +119,7 @@ def _pack(window: int, minimiser: int, buckets: int):
                 text, _ = _gather(plain, words.start[first[pick[lo:hi]]], words.end[end[pick[lo:hi]] - 1] + 1, 10)
                 out[0].append(bucket), out[1].append(zip_.compress(text.tobytes())), out[2].append(meta[lo:hi].tobytes()), out[3].append(b"")
             if known:
-                out[0].append(turn % buckets), out[1].append(b""), out[2].append(b""), out[3].append(known)
-                turn += 1
+                out[0].append(int(k1[0]) % buckets), out[1].append(b""), out[2].append(b""), out[3].append(known)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", "texts", "meta", "known"])
 
     return run
@@ -217,7 +218,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     buckets = partitions_for(total * _SPREAD, BUCKET_BYTES)
     packed = keyed.select("_k1", "_k2", "text").mapInArrow(_pack(window, minimiser, buckets), _PACKED)
     spans = packed.groupBy("bucket").applyInArrow(_count(window), "k1 long, k2 long, span long")
-    by_doc = spans.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_list("span").alias("spans"))
+    by_doc = spans.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_set("span").alias("spans"))  # rows that repeat id and text have equal spans
     joined = keyed.join(by_doc, ["_k1", "_k2"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_remove, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept string")
 

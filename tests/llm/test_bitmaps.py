@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from larkspur.llm import ngram_join
 
@@ -29,11 +30,13 @@ def test_bits_never_differ_more_than_sets():
     assert few.any() and (bits[few] > 0).all()
 
 
-def test_group_of_mixed_distance(spark):
+@pytest.mark.parametrize(("hot", "block"), [(ngram_join.HOT, ngram_join.BLOCK), (20, 16)])
+def test_group_of_mixed_distance(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rng = random.Random(9)
     base = [f"w{k}" for k in range(120)]
     texts = [" ".join(edited(rng, base, rng.choice([0.005, 0.02, 0.04, 0.06]))) for _ in range(150)]
-    got = {r.doc_id: r.component_id for r in ngram_join.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in ngram_join.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hot=hot).collect()}
     sets = []
     for t in texts:
         w = t.split()

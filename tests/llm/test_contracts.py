@@ -172,6 +172,15 @@ def test_substrings(spark, folder):
     same([tuple(r) for r in Q["op8_substring_dedup"](spark, folder).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()], wanted)
 
 
+def test_substrings_of_repeated_rows(spark):
+    from larkspur.llm import substrings
+
+    text = " ".join(f"r{i % 50}" for i in range(400))
+    docs = spark.createDataFrame([(1, text)] * 600 + [(2, text + " tail")], "doc_id long, text string").repartition(3)
+    got = substrings.remove_repeats(docs).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == {(1, 400, 400, ""): 600, (2, 401, 400, "tail"): 1}
+
+
 def test_neighbors(spark, folder):
     ok = lambda v: v and all(x is not None and math.isfinite(x) for x in v) and any(v)
     vectors = sorted((r["vec_id"], np.array(r["embedding"], float)) for r in rows(spark, folder, "embeddings") if ok(r["embedding"]))
@@ -219,12 +228,3 @@ def test_quality_agrees_with_labels(spark):
     seen = [(r.keep, labels[r.doc_id]) for r in Q["op6_quality_cotraining"](spark, "/root/testdata/sf0.01").collect() if labels.get(r.doc_id) is not None]
     assert np.mean([k == bool(y) for k, y in seen]) >= 0.85
     assert np.mean([k for k, y in seen if y]) >= 0.9
-
-
-def test_pipeline(spark, folder):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    pieces = pipeline.run(spark, folder).collect()
-    ids = {d["doc_id"] for d in rows(spark, folder, "documents")}
-    assert {p.doc_id for p in pieces} <= ids
-    if folder == SF:
-        assert len({p.doc_id for p in pieces}) > len(ids) / 3
