@@ -190,10 +190,44 @@ execl execle execlp execlpe execv execve execvp execvpe spawnl spawnle spawnlp s
 STDLIB = """os sys io re json csv xml math random datetime collections pathlib glob tempfile shutil base64 hashlib hmac binascii struct pickle marshal shelve sqlite3
 zipfile tarfile gzip bz2 lzma zlib configparser string textwrap subprocess threading multiprocessing asyncio socket ssl http urllib smtplib ftplib ctypes inspect ast
 importlib functools itertools operator warnings logging argparse uuid getpass platform signal mmap""".split()
-IMPORT_PAIRS = [p.split("+") for p in """base64+socket base64+requests base64+urllib base64+smtplib base64+ftplib os+socket os+requests os+urllib os+httplib
-subprocess+socket subprocess+requests os+base64 subprocess+base64 ctypes+base64 ctypes+socket ctypes+requests subprocess+smtplib os+smtplib os+ftplib winreg+os
-winreg+subprocess cryptography+os crypto+os cryptography+subprocess crypto+subprocess pathlib+requests pathlib+urllib""".split()]
-IMPORT_TRIPLES = [t.split("+") for t in "base64+socket+os base64+requests+subprocess ctypes+socket+base64 os+base64+smtplib os+socket+subprocess ctypes+os+subprocess base64+os+subprocess".split()]
+IMPORT_PAIRS = [
+    ("base64", "socket"),
+    ("base64", "requests"),
+    ("base64", "urllib"),
+    ("base64", "smtplib"),
+    ("base64", "ftplib"),
+    ("os", "socket"),
+    ("os", "requests"),
+    ("os", "urllib"),
+    ("os", "httplib"),
+    ("subprocess", "socket"),
+    ("subprocess", "requests"),
+    ("os", "base64"),
+    ("subprocess", "base64"),
+    ("ctypes", "base64"),
+    ("ctypes", "socket"),
+    ("ctypes", "requests"),
+    ("subprocess", "smtplib"),
+    ("os", "smtplib"),
+    ("os", "ftplib"),
+    ("winreg", "os"),
+    ("winreg", "subprocess"),
+    ("cryptography", "os"),
+    ("crypto", "os"),
+    ("cryptography", "subprocess"),
+    ("crypto", "subprocess"),
+    ("pathlib", "requests"),
+    ("pathlib", "urllib"),
+]
+IMPORT_TRIPLES = [
+    ("base64", "socket", "os"),
+    ("base64", "requests", "subprocess"),
+    ("ctypes", "socket", "base64"),
+    ("os", "base64", "smtplib"),
+    ("os", "socket", "subprocess"),
+    ("ctypes", "os", "subprocess"),
+    ("base64", "os", "subprocess"),
+]
 
 # Thresholds.
 MAX_ARCHIVE_BYTES, MAX_ARCHIVE_ENTRIES = 50 * 1024 * 1024, 15_000

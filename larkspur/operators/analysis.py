@@ -22,6 +22,8 @@ from dataclasses import dataclass, replace
 from larkspur.functions import catalogue as C
 
 MAX_DEPTH, MAX_REPAIRS = 8, 60
+#: Characters that the folded texts of a file may have in all; beyond it an ``error`` fact is given and a text is not folded.
+MAX_FOLDED = 64_000_000
 #: Statements of local functions that a file's calls may evaluate once more; beyond it an ``error`` fact is given.
 MAX_INLINED = 500_000
 HARD = {"Decoded", "Deobfuscated"}
@@ -213,6 +215,15 @@ def decoded(name: str, text: str) -> tuple[str, str] | None:
     return None
 
 
+def mode_of(given: list[Value], named: dict) -> str:
+    """The mode of a call that opens a file; reading where none is known."""
+    return (given[0] if given else named.get("mode", NOTHING)).text or "r"
+
+
+def reads(mode: str) -> bool:
+    return bool(set(mode) & set("r+")) or not set(mode) & set("wax")
+
+
 class Walk:
     """One pass over a tree; ``facts`` holds what it found."""
 
@@ -233,6 +244,7 @@ class Walk:
         self.downloaded: dict[str, dict] = {}
         self.inlined, self.inline_depth = 0, 0
         self.unread: ast.Call | None = None
+        self.folded, self.unfolded = 0, None
         self.results: dict[tuple, list[Value]] = {}
         self.used: dict[Function, tuple[frozenset, int]] = {}
 
@@ -255,8 +267,15 @@ class Walk:
         # a text of which every statement was given up is not read either; within other texts that is mere prose
         if self.tree is None or (not self.depth and self.given_up):
             self.emit("error", self.outer or (0, 0), "not parsed")
+        if self.unfolded is not None:
+            self.emit("error", self.unfolded, "texts too long to fold")
         if self.unread is not None:
             self.emit("error", self.unread, "calls not evaluated")
+        if not self.depth:
+            first = {"dynamic_import": 0, "comment": 1}
+            self.facts.sort(key=lambda f: first.get(f["kind"], 2) if f["depth"] == 0 else 2)
+            for i, f in enumerate(self.facts):
+                f["ord"] = i
         names = {f["name"] for f in self.facts if f["kind"] in ("call", "exec")}
         spawns = bool(names & _SHELL) or "pty.spawn" in names
         for f in self.facts:
@@ -437,6 +456,11 @@ class Walk:
 
     def literal(self, e: ast.expr, v: Value) -> Value:
         text = v.raw if v.raw is not None else v.text
+        if v.how and text is not None:
+            self.folded += len(text)
+            if self.folded > MAX_FOLDED:
+                self.unfolded = self.unfolded or self.span(e)
+                return replace(v, text=None, raw=None, hint="")
         if v.how:  # a folded text stands for all that it was made of
             start, end = self.span(e)
             for f in reversed(self.facts):
@@ -479,12 +503,14 @@ class Walk:
         return self.lookup(e.id)
 
     def on_Attribute(self, e: ast.Attribute) -> Value:
+        return self.called(e)[0]
+
+    def attribute(self, e: ast.Attribute, owner: Value) -> Value:
         if isinstance(e.value, ast.Name) and e.value.id == "self" and self.classes and e.attr in self.classes[-1]:
             return self.classes[-1][e.attr]
-        owner = self.value(e.value)
         path = f"{owner.path}.{e.attr}" if owner.path is not None else None
         taints = owner.taints | ({C.ATTRIBUTE_TAINTS[path]} if path in C.ATTRIBUTE_TAINTS else set())
-        return Value(path=path, taints=frozenset(taints), params=owner.params, hint=owner.hint if path in C.PATH_WRITES else "")
+        return Value(path=path, taints=frozenset(taints), params=owner.params, hint=owner.hint if path in C.PATH_WRITES or path == "pathlib.Path.open" else "")
 
     def on_BinOp(self, e: ast.BinOp) -> Value:
         a, b = self.value(e.left), self.value(e.right)
@@ -594,11 +620,10 @@ class Walk:
 
     # -- calls ---------------------------------------------------------
     def on_Call(self, e: ast.Call) -> Value:
-        callee = self.value(e.func)
+        callee, receiver = self.called(e.func)
         args = [self.value(a.value if isinstance(a, ast.Starred) else a) for a in e.args]
         named = {k.arg: self.value(k.value) for k in e.keywords}
         qn = callee.path
-        receiver = self.value_quiet(e.func.value) if isinstance(e.func, ast.Attribute) else NOTHING
         called = qn or self.chain(e.func)
         every = [*args, *named.values()]
         flow = frozenset().union(*(v.taints for v in every))
@@ -621,7 +646,7 @@ class Walk:
         taints = set(flow)
         if qn in _SOURCE_OF:
             taints.add(_SOURCE_OF[qn])
-        if qn in ("open", "io.open") and not any("w" in (v.text or "") or "a" in (v.text or "") for v in [*args[1:2], *([named["mode"]] if "mode" in named else [])]):
+        if qn in ("open", "io.open") and reads(mode_of(args[1:2], named)):
             taints.add("FileSourced")
         if method in C.RECEIVER_METHODS or callee.taints & HARD:
             taints |= receiver.taints | callee.taints
@@ -632,12 +657,12 @@ class Walk:
         kept = replace(out, taints=frozenset(taints | out.taints), params=params)
         return self.literal(e, kept) if kept.text is not None else kept
 
-    def value_quiet(self, e: ast.expr) -> Value:
-        """A value without the facts on the way, which are recorded already."""
-        facts, self.facts = self.facts, []
-        v = self.value(e)
-        self.facts = facts
-        return v
+    def called(self, e: ast.expr) -> tuple[Value, Value]:
+        """The values of a call's function and of the object it is a method of."""
+        if not isinstance(e, ast.Attribute):
+            return self.value(e), NOTHING
+        owner = self.value(e.value)
+        return self.attribute(e, owner), owner
 
     def chain(self, e: ast.expr) -> str | None:
         parts = []
@@ -775,7 +800,7 @@ class Walk:
         if method == "decode" and receiver.data is not None and texts and texts[0]:
             try:
                 return Value(text=receiver.data.decode(texts[0]), how="Other")
-            except (LookupError, UnicodeDecodeError):
+            except (LookupError, ValueError):
                 return NOTHING
         if method == "decode":
             return replace(receiver, raw=None, how=receiver.how or "Other")
@@ -848,12 +873,14 @@ class Walk:
                 fact = self.emit("download", e, t, to, qn, flow, number=2 if temporary else 0)
                 if to:
                     self.downloaded[to] = fact
-        if qn in ("open", "io.open") or qn in C.PATH_WRITES:
-            mode = (args[1] if len(args) > 1 else named.get("mode", NOTHING)).text or ""
+        if qn in ("open", "io.open", "pathlib.Path.open") or qn in C.PATH_WRITES:
+            mode = mode_of(args[1:2], named)
             name = first.text if qn not in C.PATH_WRITES else None
             if qn in C.PATH_WRITES:
                 name = callee.hint
-            if name and (qn in C.PATH_WRITES or "w" in mode or "a" in mode):
+            elif qn == "pathlib.Path.open":
+                name, mode = callee.hint, mode_of(args[0:1], named)
+            if name and (qn in C.PATH_WRITES or set(mode) & set("wax+")):
                 self.emit("write", e, name)
         if self.is_setup and qn in C.SETUP_CALLS and "cmdclass" in named:
             for k in next(k.value for k in e.keywords if k.arg == "cmdclass").values if isinstance(next(k.value for k in e.keywords if k.arg == "cmdclass"), ast.Dict) else []:
@@ -861,13 +888,36 @@ class Walk:
                     self.emit("cmdclass", e, k.id)
 
 
+def _plain(text: str | None) -> str | None:
+    """Text that can be written as UTF-8: lone surrogates become escapes."""
+    return text if text is None or text.isascii() else text.encode("utf-8", "backslashreplace").decode()
+
+
+def guarded(walk: Walk) -> list[dict]:
+    """The facts of a walk; if it fails, those found so far and an ``error`` fact."""
+    try:
+        found = walk.run()
+    except RecursionError:
+        walk.emit("error", (0, 0), "too deep")
+        found = walk.facts
+    except Exception as error:  # a file that cannot be analysed is a row, not the end of the job
+        walk.emit("error", (0, 0), f"{type(error).__name__}: {error}"[:200])
+        found = walk.facts
+    for f in found:
+        f["name"], f["text"] = _plain(f["name"]), _plain(f["text"])
+    return found
+
+
+def is_setup_name(path: str | None) -> bool:
+    return (path or "").replace("\\", "/").rsplit("/", 1)[-1].lower().endswith("setup.py")
+
+
 def facts(source: str | None, path: str | None) -> list[dict]:
-    """Facts of a source text; a null text has none.  Trees too deep to walk give what was found so far and an ``error`` fact."""
+    """Facts of a source text; a null text has none.  Whatever goes wrong in a text is told by an ``error`` fact."""
     if source is None:
         return []
-    walk = Walk(source, (path or "").replace("\\", "/").rsplit("/", 1)[-1].lower().endswith("setup.py"))
     try:
-        return walk.run()
-    except RecursionError:
-        walk.emit("error", (0, 0), "too deep")
-        return walk.facts
+        walk = Walk(source, is_setup_name(path))
+    except Exception as error:
+        return [{"kind": "error", "ord": 0, "start": 0, "end": 0, "name": _plain(f"{type(error).__name__}: {error}"[:200]), "text": None, "how": "", "taints": [], "number": 0, "depth": 0}]
+    return guarded(walk)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import catalogue as C
 from larkspur.functions import text as T
-from larkspur.operators.analysis import EXTRA, LEAST_HIGH, PYTHON, SUSPICIOUS
+from larkspur.operators.analysis import EXTRA, LEAST_HIGH, PYTHON, SUSPICIOUS, is_setup_name  # noqa: F401  is_setup_name is part of this module's surface
 
 FACT = "struct<kind:string,ord:int,start:int,end:int,name:string,text:string,how:string,taints:array<string>,number:int,depth:int>"
 CODE = {name: code for code, name, *_ in C.RULES}
@@ -106,7 +106,8 @@ def fact_findings(f: Column) -> Column:
 
 def _literal_rules(literal: Column, text: Column, how: Column) -> list[Column]:
     normal = T.normal_slashes(text)
-    hit = _hits(C.LITERAL_PATTERNS, lambda x: F.contains(normal, x["p"]))
+    prose = T.doc_like(text)
+    hit = _hits(C.LITERAL_PATTERNS, lambda x: F.contains(normal, x["p"]) & ~(prose & x["p"].rlike("^(import|from) ")))
     long_enough = literal & F.octet_length(text).between(*C.LITERAL_BYTES)
     code = hit["r"]
     pattern = F.when(long_enough & hit.isNotNull(), F.struct(code.alias("rule"), hit["c"].alias("confidence"), hit["p"].alias("label"), hit["d"].alias("description")))
@@ -116,7 +117,7 @@ def _literal_rules(literal: Column, text: Column, how: Column) -> list[Column]:
         pattern,
         _finding(long_enough & T.telegram_token(text), "TelegramToken", MEDIUM, shown),
         _finding(literal & base, "Base64String", F.when(F.octet_length(text) > C.BASE64_HIGH, HIGH).otherwise(MEDIUM), shown),
-        _finding(literal & ~base & ((how == "Hex") | T.hex_escapes(text)), "HexedString", MEDIUM, shown),
+        _finding(literal & ~base & ((how == "Hex") | T.long_hex(text)), "HexedString", MEDIUM, shown),
     ]
 
 
@@ -127,7 +128,7 @@ def _exec_rules(exec_: Column, name: Column, text: Column, how: Column, taints:
     taint = F.get(taints, 0)  # taints come in order of precedence
     hidden = (taint.isNotNull() & (taint != "EnvVariables")) | sus
     shell = (how == "shell") & ~python
-    dangerous = shell & T.has_dangerous_command(text)
+    dangerous = shell & T.dangerous_command(text)
     level = F.when(taint.isin("Fingerprinting", "EnvVariables"), MEDIUM).when(taint.isNotNull() | sus, HIGH).otherwise(MEDIUM)
     level = F.when(sus & ~taint.eqNullSafe("EnvVariables"), VERY_HIGH).otherwise(level)
     level = F.when(flag(EXTRA), VERY_HIGH).when(flag(LEAST_HIGH), F.greatest(level, F.lit(HIGH))).otherwise(level)
@@ -140,16 +141,35 @@ def _exec_rules(exec_: Column, name: Column, text: Column, how: Column, taints:
     ]
 
 
-def findings(analysed: DataFrame) -> DataFrame:
-    """One row per finding of ``analysed`` (file_id, file_path, facts, ...), in order within a file.
+def found_in(facts: Column, path: Column) -> Column:
+    """The findings of a file's facts, in their order: an array of structs.
 
     Findings of a setup.py are a level higher for the rules that execute,
-    fingerprint or send.  A null, empty or unreadable source has none.
+    fingerprint or send.  No facts give no findings.
     """
-    f = analysed.select("file_id", "file_path", F.explode("facts").alias("f"))
-    rows = f.select("file_id", "file_path", "f.ord", "f.depth", "f.start", "f.end", F.explode(fact_findings(F.col("f"))).alias("x"))
-    elevated = F.lower(F.regexp_extract("file_path", r"([^/\\]*)$", 1)).endswith("setup.py") & F.col("x.rule").isin(C.SETUP_ELEVATED) & (F.col("x.confidence") < HIGH)
-    return rows.select("file_id", "file_path", "ord", "depth", "start", "end", "x.rule", (F.col("x.confidence") + elevated.cast("int")).alias("confidence"), "x.label", "x.description")
+    is_setup = F.lower(F.regexp_extract(path, r"([^/\\\\]*)$", 1)).endswith("setup.py")
+
+    def of(f: Column) -> Column:
+        def row(x: Column) -> Column:
+            up = F.coalesce(is_setup, F.lit(False)) & x["rule"].isin(C.SETUP_ELEVATED) & (x["confidence"] < HIGH)
+            named = [f[n].alias(n) for n in ("ord", "depth", "start", "end")]
+            return F.struct(*named, x["rule"].alias("rule"), (x["confidence"] + up.cast("int")).alias("confidence"), x["label"].alias("label"), x["description"].alias("description"))
+
+        return F.transform(fact_findings(f), row)
+
+    return F.flatten(F.transform(F.coalesce(facts, F.array().cast(f"array<{FACT}>")), of))
+
+
+def with_findings(analysed: DataFrame) -> DataFrame:
+    """``analysed`` (file_path, facts, ...) with the column ``findings``."""
+    return analysed.withColumn("findings", found_in(F.col("facts"), F.col("file_path")))
+
+
+def findings(analysed: DataFrame) -> DataFrame:
+    """One row per finding of ``analysed`` (file_id, file_path, facts, ...), in order within a file."""
+    rows = analysed.select("file_id", "file_path", F.explode("facts").alias("f"))
+    rows = rows.select("file_id", "file_path", F.explode(found_in(F.array("f"), F.col("file_path"))).alias("x"))
+    return rows.select("file_id", "file_path", "x.ord", "x.depth", "x.start", "x.end", "x.rule", "x.confidence", "x.label", "x.description")
 
 
 def audit(sources: DataFrame) -> DataFrame:

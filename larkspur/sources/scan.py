@@ -10,6 +10,7 @@ import io
 import re
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,76 +23,117 @@ SCHEMA = "file_id string, archive_path string, file_path string, content string,
 _KINDS = re.compile(r"\.(py|zip|tar\.gz)$", re.I)
 
 
-def _text(data: bytes) -> str:
-    """UTF-8, or the encoding that the first two lines name, or Latin-1."""
+class TooMany(ValueError):
+    """An archive with more entries than are read."""
+
+
+def _text(data: bytes) -> str | None:
+    """UTF-8, with or without a byte order mark; null for anything else."""
     try:
         return data.decode("utf-8-sig")
     except UnicodeDecodeError:
-        named = re.search(rb"coding[=:]\s*([-\w.]+)", b"\n".join(data.split(b"\n", 2)[:2]))
-        for name in ([named[1].decode()] if named else []) + ["latin-1"]:
-            try:
-                return data.decode(name)
-            except (LookupError, UnicodeDecodeError):
-                continue
-    return data.decode("utf-8", "replace")
+        return None
 
 
 def _zip_members(data: bytes) -> Iterator[tuple[str, bytes | None, str | None]]:
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        for info in archive.infolist()[: C.MAX_ARCHIVE_ENTRIES]:
-            if info.filename.lower().endswith(".py"):
+        entries = archive.infolist()
+        if len(entries) > C.MAX_ARCHIVE_ENTRIES:
+            raise TooMany(f"more than {C.MAX_ARCHIVE_ENTRIES} entries")
+        for info in entries:
+            if not info.is_dir() and info.filename.lower().endswith(".py"):
                 try:
                     yield info.filename, archive.read(info, pwd=C.ARCHIVE_PASSWORD), None
-                except (RuntimeError, NotImplementedError, zipfile.BadZipFile, OSError) as error:
-                    yield info.filename, None, str(error)
+                except Exception as error:  # one member that cannot be read
+                    yield info.filename, None, f"{type(error).__name__}: {error}"
 
 
 def _tar_members(data: bytes) -> Iterator[tuple[str, bytes | None, str | None]]:
-    with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as archive:
-        for i, member in enumerate(archive):
-            if i >= C.MAX_ARCHIVE_ENTRIES:
-                return
+    """All members, or an exception before the first of them: an archive with too many entries is read for nothing."""
+    held: list[tuple[str, bytes | None, str | None]] = []
+    broken = None
+    with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz", ignore_zeros=True) as archive:
+        n = 0
+        while True:
+            try:
+                member = archive.next()
+            except (tarfile.TarError, OSError, EOFError, zlib.error) as error:
+                broken = f"{type(error).__name__}: {error}"  # what comes after cannot be found
+                break
+            if member is None:
+                break
+            n += 1
+            if n > C.MAX_ARCHIVE_ENTRIES:
+                raise TooMany(f"more than {C.MAX_ARCHIVE_ENTRIES} entries")
             if member.isfile() and member.name.lower().endswith(".py"):
-                yield member.name, archive.extractfile(member).read(), None
+                try:
+                    held.append((member.name, archive.extractfile(member).read(), None))
+                except Exception as error:
+                    held.append((member.name, None, f"{type(error).__name__}: {error}"))
+    yield from held
+    if broken:
+        yield "", None, broken
 
 
 def members(path: str, data: bytes) -> Iterator[tuple[str | None, str, str | None, str | None]]:
     """archive_path, file_path, content and error of the sources in one file."""
+
+    def row(archive: str | None, name: str, content: bytes | None, error: str | None):
+        text = None if content is None else _text(content)
+        return archive, name, text, "not UTF-8" if content is not None and text is None else error
+
     low = path.lower()
     if low.endswith(".py"):
-        yield None, path, _text(data), None
-        return
-    if len(data) > C.MAX_ARCHIVE_BYTES:
-        yield path, path, None, "archive too large"
+        yield row(None, path, data, None)
         return
     try:
         for name, content, error in (_zip_members if low.endswith(".zip") else _tar_members)(data):
-            yield path, name, None if content is None else _text(content), error
-    except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError) as error:
-        yield path, path, None, str(error)
+            yield row(path, name or path, content, error)
+    except Exception as error:  # an archive that cannot be read is a row
+        yield path, path, None, f"{type(error).__name__}: {error}"
 
 
 def expand(files: DataFrame, exclude: list[str] = ()) -> DataFrame:
-    """Rows of ``files`` (path, content as bytes) to one row per source; excluded base names are left out."""
-    left_out = frozenset(exclude)
+    """Rows of ``files`` (path, length, content as bytes) to one row per source.
+
+    Files and archives with an excluded base name are left out, members of
+    archives are not.  Archives over the size limit are a row with an error;
+    they are not read.
+    """
+    small = (~F.lower("path").endswith(".py")) & (F.col("length") > C.MAX_ARCHIVE_BYTES)
+    base = F.regexp_extract("path", r"([^/\\]*)$", 1)
+    kept = files.where(~base.isin(list(exclude))) if exclude else files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = [r for r in members(path, data.as_py()) if re.split(r"[/\\]", r[1])[-1] not in left_out]
-                columns = list(zip(*rows)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["archive_path", "file_path", "content", "error"])
+                held: list[tuple] = []
+                size = 0
+                for row in members(path, data.as_py()):
+                    held.append(row)
+                    size += len(row[2] or "")
+                    if size > 8_000_000:
+                        yield _rows(held)
+                        held, size = [], 0
+                yield _rows(held)
+
+    read = kept.where(~small).select("path", "content").mapInArrow(run, SCHEMA.replace("file_id string, ", ""))
+    large = kept.where(small).select(F.col("path").alias("archive_path"), F.col("path").alias("file_path"), F.lit(None).cast("string").alias("content"), F.lit("archive too large").alias("error"))
+    return read.unionByName(large).select(F.sha2(F.concat_ws("\0", "archive_path", "file_path"), 256).alias("file_id"), "*")
+
 
-    rows = files.select("path", "content").mapInArrow(run, SCHEMA.replace("file_id string, ", ""))
-    return rows.select(F.sha2(F.concat_ws("\0", "archive_path", "file_path"), 256).alias("file_id"), "*")
+def _rows(held: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*held)) if held else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["archive_path", "file_path", "content", "error"])
 
 
-def scan(spark: SparkSession, path: str, exclude: list[str] = ()) -> DataFrame:
-    """Sources below ``path``: .py files and members of .zip and .tar.gz archives.  Raises where there are none."""
+def scan(spark: SparkSession, path: str, exclude: list[str] = (), empty_ok: bool = False) -> DataFrame:
+    """Sources below ``path``: .py files and members of .zip and .tar.gz archives.  Raises where there are none, unless ``empty_ok``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("path").rlike(_KINDS.pattern.replace(r"\.(", r"(?i)\.(")))
-    if files.select("path").isEmpty():
+    files = files.where(~F.regexp_extract("path", r"([^/\\]*)$", 1).isin(list(exclude))) if exclude else files
+    if not empty_ok and files.select("path").isEmpty():
         raise ValueError(f"No Python files found: {path}")
-    return expand(files, exclude)
+    return expand(files)
 
 
 def exclusions(text: str) -> list[str]:
