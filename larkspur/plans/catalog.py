@@ -239,14 +239,14 @@ def json_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dataset_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Malicious entries made of the sources (every other one), with the number of their rules."""
     made = sources(spark, sf_dir).select(
-        F.lit(None).cast("string").alias("archive"), F.col("file_id").alias("file"), F.lit(None).cast("string").alias("reason"), F.regexp_replace(F.base64(F.encode("content", "UTF-8")), r"\s", "").alias("code"),
+        F.lit(None).cast("string").alias("archive"), F.concat_ws("/", "file_id", "file_path").alias("file"), F.lit(None).cast("string").alias("reason"), F.regexp_replace(F.base64(F.encode("content", "UTF-8")), r"\s", "").alias("code"),
         F.when(F.col("file_id").cast("long") % 2 == 0, "malicious").otherwise("benign").alias("verdict"), F.lit(None).cast("string").alias("lines"), F.lit(None).cast("string").alias("_bad"),
     )
     x = F.from_json("value", "file string, rules array<struct<code:string>>")
     return datasets.validation(made).select(x.alias("x")).select(F.col("x.file").alias("file"), F.size("x.rules").cast("long").alias("n"))
 
 
-_VALID_SQL = f"SELECT CAST(c_custkey AS VARCHAR) AS file, count(w.rule) AS n FROM customer LEFT JOIN ({_WANTED}) w ON w.file_id = CAST(c_custkey AS VARCHAR) WHERE c_custkey % 2 = 0 GROUP BY 1"
+_VALID_SQL = f"SELECT c_custkey || '/pkg' || c_nationkey || CASE WHEN c_custkey % {_KINDS} >= {_SETUP} THEN '/setup.py' ELSE '/a.py' END AS file, count(w.rule) AS n FROM customer LEFT JOIN ({_WANTED}) w ON w.file_id = CAST(c_custkey AS VARCHAR) WHERE c_custkey % 2 = 0 GROUP BY 1"
 
 
 def text_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
