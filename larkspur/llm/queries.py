@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.llm._sql import OP4_SQL, OP7_SQL, OP8_SQL
 from larkspur.llm.decontaminate import op4_decontaminate
 from larkspur.llm.licenses import OP2_SQL, op2_license_scan
 from larkspur.llm.neighbors import OP10_SQL, op10_nearest_neighbors
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": OP2_SQL, "op10_nearest_neighbors": OP10_SQL}
+    return {"op2_license_scan": OP2_SQL, "op4_decontaminate": OP4_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_nearest_neighbors": OP10_SQL}

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from larkspur.llm._spark import cut, table
 
-#: Longest word of a host label.
-MAX_WORD = 20
+#: Longest word of a host label: no longer label is valid in the domain name system.
+MAX_WORD = 63
 # The registered query's rules, and words that speak for a verdict whatever the pages hold.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 SEEDS = {
