@@ -20,6 +20,7 @@ import tokenize
 from dataclasses import dataclass, replace
 
 from larkspur.functions import catalogue as C
+from larkspur.functions.encodings import decode_bytes
 
 MAX_DEPTH, MAX_REPAIRS = 8, 60
 #: Characters that the folded texts of a file may have in all; beyond it an ``error`` fact is given and a text is not folded.
@@ -798,10 +799,8 @@ class Walk:
             how = next((i.how for i in args[0].items or () if i.how), "") or "Join"
             return Value(text=s.join(parts), how=how)
         if method == "decode" and receiver.data is not None and texts and texts[0]:
-            try:
-                return Value(text=receiver.data.decode(texts[0]), how="Other")
-            except (LookupError, ValueError):
-                return NOTHING
+            text = decode_bytes(receiver.data, texts[0])
+            return NOTHING if text is None else Value(text=text, how="Other")
         if method == "decode":
             return replace(receiver, raw=None, how=receiver.how or "Other")
         if method == "encode" or method == "format" and not args:
