@@ -10,8 +10,9 @@ hash.  Steps:
    its shingles; documents with equal sets are one *class*, and only classes
    are joined.  The same pass counts shingles.
 2. Prefix shingles are packed by shingle bucket; each bucket sorts them and
-   yields the posting lists of two or more classes, each once, and how many of
-   its prefix shingles each class shares with any other.  Of two sets, let x be
+   yields the posting lists of two or more classes, each once and with how many
+   shingles have it.  Summed over the lists of a class, that tells how many of
+   its prefix shingles it shares with any other.  Of two sets, let x be
    the one whose prefix ends first in the common order: all that x's prefix has
    in common with y stands in y's prefix.  So their overlap is at most x's
    *room*, its size less the shingles of its prefix that no other prefix has.
@@ -37,6 +38,7 @@ list.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,14 +64,12 @@ BLOCK = 2048
 EACH = 256
 
 _TUPLE = np.dtype([("g", "<u8"), ("c", "<u8"), ("n", "<u4"), ("pos", "<u2"), ("parts", "<u2")])
-_LISTS = "shingle long, part int, codes array<long>, sizes array<long>"
+_LISTS = "shingle long, part int, times long, codes array<long>, sizes array<long>"
 #: Bits of a set's bitmap: four a shingle, a power of two between these.
 BITS = (256, 4096)
 
-#: The part of rows that hold, for a bucket's classes, how many shingles they share.
-_SHARED = -1
-#: And where their prefixes end.
-_ENDS = -2
+#: The part of rows that hold where the prefixes of a bucket's classes end.
+_ENDS = -1
 
 
 def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -193,8 +193,8 @@ def _prefixes(size: int, percent: int, buckets: int, counts, hot: int):
 def _posting_lists(table_: pa.Table) -> pa.Table:
     """A bucket's lists of two classes or more: members, and for lists dealt to several tasks the shingle and part.
 
-    Equal lists come out once.  A part of a dealt list comes out even with one
-    member, for its hub.  Two rows more have the numbers of shared shingles and
+    Equal lists come out once, with the number of their shingles.  A part of a
+    dealt list comes out even with one member, for its hub.  One row more has
     the ends of prefixes.
     """
     t = np.frombuffer(b"".join(table_.column("tuples").to_pylist()), _TUPLE)
@@ -213,18 +213,19 @@ def _posting_lists(table_: pa.Table) -> pa.Table:
     keep = (length > 1) | (t["parts"][begin] > 1)
     codes, sizes = t["c"].astype(np.int64), (t["n"].astype(np.int64) << 32) + t["pos"]
     out: dict[tuple, tuple] = {}
+    times: Counter[tuple] = Counter()
     for lo, k in zip(begin[keep].tolist(), length[keep].tolist()):
         dealt = bool(t["parts"][lo] > 1)
         g = int(t["g"][lo].astype(np.int64)) if dealt else None
         x = codes[lo : lo + k]
-        out.setdefault((g, int(part[lo]) if dealt else 0, x.tobytes()), (x, sizes[lo : lo + k]))  # each list's places bound the overlap
-    shared, k = np.unique(codes[np.repeat(keep, length)], return_counts=True)
-    out[None, _SHARED, b""] = (shared, k)
+        key = g, int(part[lo]) if dealt else 0, x.tobytes()
+        out.setdefault(key, (x, sizes[lo : lo + k]))  # each list's places bound the overlap
+        times[key] += 1
     _, one = np.unique(ends["c"], return_index=True)
     out[None, _ENDS, b""] = (ends["c"][one].astype(np.int64), ends["g"][one].astype(np.int64))
     ends = np.cumsum([0] + [len(x) for x, _ in out.values()]).astype(np.int32)
     lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([v[i] for v in out.values()]).astype(np.int64))) for i in (0, 1)]
-    return pa.table({"shingle": pa.array([k[0] for k in out], pa.int64()), "part": pa.array([k[1] for k in out], pa.int32()), "codes": lists[0], "sizes": lists[1]})
+    return pa.table({"shingle": pa.array([k[0] for k in out], pa.int64()), "part": pa.array([k[1] for k in out], pa.int32()), "times": pa.array([times[k] for k in out], pa.int64()), "codes": lists[0], "sizes": lists[1]})
 
 
 def _prefix(n, percent: int):
@@ -432,12 +433,11 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hot: i
     found = cut(packed.groupBy("bucket").applyInArrow(_posting_lists, _LISTS))
     counts.destroy()
 
-    def numbers(part: int) -> DataFrame:
-        return found.where(F.col("part") == part).select(F.explode(F.arrays_zip("codes", "sizes")).alias("x")).select(F.col("x.codes").alias("c"), F.col("x.sizes").alias("x"))
-
-    shared = numbers(_SHARED).groupBy("c").agg(F.sum("x").alias("shared"))
-    known = shared.join(numbers(_ENDS), "c").groupBy("c").agg(F.struct(F.first("shared").alias("shared"), F.first("x").alias("end")).alias("known"))
-    lists = cut(_attached(found.where("part >= 0").dropDuplicates(["shingle", "part", "codes"]), known, "known"))
+    once = cut(found.where("part >= 0").groupBy("shingle", "part", "codes").agg(F.first("sizes").alias("sizes"), F.sum("times").alias("times")))
+    shared = once.select("times", F.explode("codes").alias("c")).groupBy("c").agg(F.sum("times").alias("shared"))
+    ends = found.where(F.col("part") == _ENDS).select(F.explode(F.arrays_zip("codes", "sizes")).alias("x")).select(F.col("x.codes").alias("c"), F.col("x.sizes").alias("end"))
+    known = shared.join(ends, "c").select("c", F.struct("shared", "end").alias("known"))
+    lists = cut(_attached(once.drop("times"), known, "known"))
     # the first members of the parts of a dealt list make a list of their own
     heads = lists.where("shingle IS NOT NULL").groupBy("shingle").agg(F.array_sort(F.collect_set(F.struct(F.col("codes")[0].alias("c"), F.col("sizes")[0].alias("s"), F.col("known")[0].alias("k")))).alias("m"))
     heads = heads.select(F.col("m.c").alias("codes"), F.col("m.s").alias("sizes"), F.col("m.k").alias("known"))
