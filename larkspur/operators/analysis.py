@@ -52,7 +52,7 @@ class Value:
 
 
 #: Flags of an ``exec`` fact.
-EXTRA, SUSPICIOUS, PYTHON, LEAST_HIGH = 1, 2, 4, 8
+EXTRA, SUSPICIOUS, PYTHON, LEAST_HIGH, HARD_SUBJECT = 1, 2, 4, 8, 16
 NOTHING = Value()
 
 
@@ -64,6 +64,8 @@ class Function:
     body: object = None
 
 
+#: A dotted name of two or more identifiers.
+_DOTTED = re.compile(r"[^\W\d]\w*(?:\.[^\W\d]\w*)+")
 _TOKEN = re.compile(r"""#[^\n]*|'{3}|"{3}|'(?:\\.|[^'\\\n])*'?|"(?:\\.|[^"\\\n])*"?|[()\[\]{}]|\\\n|\n|[^#'"()\[\]{}\\\n]+|.""", re.S)
 _CLAUSE = re.compile(r"\s*(?:elif|else|except|finally|case)\b|\s*[)\]}]")
 _STATEMENT = re.compile(r"\s*(?:def|class|import|from|return|while|try|with|print|exec|raise|del|global|assert|async|@)\b")
@@ -104,6 +106,10 @@ def _modern(line: str) -> str:
     return re.sub(r"^(\s*)(print|exec)\b\s*(?!\()(?:>>\s*)?([^#\s=,.\[:+*/%&|^)\]}-].*)$", r"\1\2(\3)", line)
 
 
+#: A hexadecimal escape that lacks digits.
+_BROKEN_ESCAPE = re.compile(r"(?<!\\)((?:\\\\)*)\\(?=x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?![0-9a-fA-F]{8}))")
+
+
 def _parses(lines: list[str], lo: int, hi: int) -> bool:
     block = lines[lo:hi]
     indented = next((x for x in block if x.strip()), "")[:1].isspace()
@@ -174,13 +180,15 @@ def parse(source: str) -> tuple[ast.Module | None, str]:
                     lines = modern
                 elif at not in seen and old_style != line:
                     lines[at] = old_style
+                elif re.search(r"codec can't decode|invalid \\x escape", error.msg or "") and (whole := [_BROKEN_ESCAPE.sub(r"\1/", x) for x in lines]) != lines:
+                    lines = whole  # of the same length, so places stay
                 else:
                     lines[at] = line[: len(line) - len(line.lstrip())] + ("pass" if line.strip() != "pass" else "")
                 seen.add(at)
                 text = "\n".join(lines)
         lines = source.replace("\0", " ").replace("\f", " ").split("\n")
         begins = _starts(lines)
-        lines = [_modern(x[: _indent(x)].expandtabs() + x.lstrip()) if b else x for x, b in zip(lines, begins)]
+        lines = [_BROKEN_ESCAPE.sub(r"\1/", _modern(x[: _indent(x)].expandtabs() + x.lstrip()) if b else x) for x, b in zip(lines, begins)]
         _settle(lines, begins, 0, len(lines))
         text = "\n".join(lines)
         return ast.parse(text), text
@@ -341,8 +349,7 @@ class Walk:
             for a in s.names:
                 self.emit("import", s, a.name)
                 self.modules.add(a.name.split(".")[0])
-                if a.asname:
-                    self.emit("target", s, a.asname)
+                self.emit("target", a, a.asname or a.name)
                 self.scopes[-1][a.asname or a.name.split(".")[0]] = Value(path=a.name if a.asname else a.name.split(".")[0])
         elif isinstance(s, ast.ImportFrom):
             base = "." * s.level + (s.module or "")
@@ -350,8 +357,8 @@ class Walk:
             self.modules.add((s.module or "").split(".")[0])
             for a in s.names:
                 if a.name != "*":
-                    if a.asname:
-                        self.emit("target", s, a.asname)
+                    if s.module:
+                        self.emit("target", a, a.asname or a.name)
                     self.scopes[-1][a.asname or a.name] = Value(path=f"{base}.{a.name}")
         elif isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef)):
             self.function(s)
@@ -593,10 +600,12 @@ class Walk:
 
     def comprehension(self, e) -> Value:
         self.scopes.append({})
-        over = NOTHING
+        over, taints, params = NOTHING, frozenset(), frozenset()
         for g in e.generators:
             over = self.value(g.iter)
-            self.bind(g.target, Value(taints=over.taints, params=over.params), e)
+            hidden = over.taints | {"Decoded"} if over.how in ("Base64", "Hex") else over.taints
+            self.bind(g.target, Value(taints=hidden, params=over.params), e)
+            taints, params = taints | hidden, params | over.params
         items = None
         elements = over.items if over.items is not None else tuple(Value(text=c) for c in over.text) if over.text is not None else None
         plain = len(e.generators) == 1 and isinstance(e.generators[0].target, ast.Name) and not e.generators[0].ifs
@@ -610,7 +619,7 @@ class Walk:
             items = tuple(kept)
         out = self.value(e.value if isinstance(e, ast.DictComp) else e.elt)
         self.scopes.pop()
-        return Value(items=items, taints=over.taints | out.taints, params=over.params | out.params)
+        return Value(items=items, taints=taints | out.taints, params=params | out.params)
 
     on_ListComp = on_GeneratorExp = on_SetComp = on_DictComp = comprehension
 
@@ -714,7 +723,7 @@ class Walk:
             if kind == "exfil" and v.taints:
                 self.emit("exfil", e, self.chain(e.func) or label, taints=v.taints)
             elif kind in ("shell", "code") and any(v is a for a in args):
-                self.emit("exec", e, self.chain(e.func) or label, v.text, kind, v.taints, number=LEAST_HIGH | (SUSPICIOUS if self.hard([v]) else 0))
+                self.emit("exec", e, self.chain(e.func) or label, v.text, kind, v.taints, number=LEAST_HIGH | (SUSPICIOUS | HARD_SUBJECT if self.hard([v]) else 0))
             for q in v.params:
                 if self.functions:
                     self.functions[-1].leaks.append((q, kind, label, hard))
@@ -763,6 +772,8 @@ class Walk:
             owner = first if qn in C.GETATTR else receiver
             hard = {"Deobfuscated"} if key.text in C.SENSITIVE_ATTRIBUTES else set()
             return Value(path=f"{owner.path}.{key.text}" if owner.path is not None else None, taints=owner.taints | hard)
+        if qn in ("eval", "builtins.eval") and first.text is not None and _DOTTED.fullmatch(first.text):
+            return Value(path=first.text, taints=frozenset(["Deobfuscated"]))
         if method == "get" and receiver.path in C.REGISTRIES and first.text is not None:
             return Value(path=first.text, taints=frozenset(["Deobfuscated"]))
         if qn in ("globals", "locals", "vars"):
@@ -838,8 +849,8 @@ class Walk:
         sus = self.hard([callee, *subjects]) or qn.startswith("__builtins__.")
         alias = kind == "code" and (qn.startswith("builtins.") or isinstance(e.func, ast.Name) and e.func.id != qn)
         stdin = python and parts[1] == "-"
-        flags = (SUSPICIOUS if sus else 0) | (PYTHON if python and not stdin else 0) | (LEAST_HIGH if alias or python else 0)
-        self.emit("exec", e, qn, " ".join(parts), "code" if stdin else kind, callee.taints.union(*(s.taints for s in subjects)), number=flags)
+        flags = (SUSPICIOUS if sus else 0) | (PYTHON if python and not stdin else 0) | (LEAST_HIGH if alias or python else 0) | (HARD_SUBJECT if self.hard(subjects) else 0)
+        self.emit("exec", e, qn, "\0".join(p.replace("\0", " ") for p in parts), "code" if stdin else kind, callee.taints.union(*(s.taints for s in subjects)), number=flags)
         for path, fact in self.downloaded.items():
             if any(path in p for p in parts):
                 fact["number"] = 1

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import catalogue as C
 from larkspur.functions import text as T
-from larkspur.operators.analysis import EXTRA, LEAST_HIGH, PYTHON, SUSPICIOUS, is_setup_name  # noqa: F401  is_setup_name is part of this module's surface
+from larkspur.operators.analysis import EXTRA, HARD_SUBJECT, LEAST_HIGH, PYTHON, SUSPICIOUS, is_setup_name  # noqa: F401  is_setup_name is part of this module's surface
 
 FACT = "struct<kind:string,ord:int,start:int,end:int,name:string,text:string,how:string,taints:array<string>,number:int,depth:int>"
 CODE = {name: code for code, name, *_ in C.RULES}
@@ -112,12 +112,14 @@ def _literal_rules(literal: Column, text: Column, how: Column) -> list[Column]:
     code = hit["r"]
     pattern = F.when(long_enough & hit.isNotNull(), F.struct(code.alias("rule"), hit["c"].alias("confidence"), hit["p"].alias("label"), hit["d"].alias("description")))
     shown = T.preview(text)
+    # decoded text is shown as the escapes of its bytes
+    decoded = F.when(how.isin("Base64", "Hex") & ~text.rlike(r"\A(?:\\x[0-9a-f]{2})+\z"), T.preview(F.regexp_replace(F.lower(F.hex(F.encode(text, "UTF-8"))), "(..)", r"\\x$1"))).otherwise(shown)
     base = (how == "Base64") | (how == "") & T.long_base64(text)
     return [
         pattern,
         _finding(long_enough & T.telegram_token(text), "TelegramToken", MEDIUM, shown),
-        _finding(literal & base, "Base64String", F.when(F.octet_length(text) > C.BASE64_HIGH, HIGH).otherwise(MEDIUM), shown),
-        _finding(literal & ~base & ((how == "Hex") | T.long_hex(text)), "HexedString", MEDIUM, shown),
+        _finding(literal & base, "Base64String", F.when(F.octet_length(text) > C.BASE64_HIGH, HIGH).otherwise(MEDIUM), decoded),
+        _finding(literal & ~base & ((how == "Hex") | T.long_hex(text)), "HexedString", MEDIUM, decoded),
     ]
 
 
@@ -128,12 +130,13 @@ def _exec_rules(exec_: Column, name: Column, text: Column, how: Column, taints:
     taint = F.get(taints, 0)  # taints come in order of precedence
     hidden = (taint.isNotNull() & (taint != "EnvVariables")) | sus
     shell = (how == "shell") & ~python
-    dangerous = shell & T.dangerous_command(text)
+    parts = F.split(text, "\0")  # of a command's parts only the first names a program
+    dangerous = shell & (T.dangerous_command(parts[0]) | F.coalesce(F.exists(F.slice(parts, 2, F.size(parts)), lambda x: T.dangerous_command(x, False)), F.lit(False)))
     level = F.when(taint.isin("Fingerprinting", "EnvVariables"), MEDIUM).when(taint.isNotNull() | sus, HIGH).otherwise(MEDIUM)
     level = F.when(sus & ~taint.eqNullSafe("EnvVariables"), VERY_HIGH).otherwise(level)
     level = F.when(flag(EXTRA), VERY_HIGH).when(flag(LEAST_HIGH), F.greatest(level, F.lit(HIGH))).otherwise(level)
     return [
-        _finding(exec_ & dangerous, "DangerousExec", F.when(sus, VERY_HIGH).otherwise(HIGH), name),
+        _finding(exec_ & dangerous, "DangerousExec", F.when(flag(HARD_SUBJECT), VERY_HIGH).otherwise(HIGH), name),
         _finding(exec_ & shell & ~dangerous & ~hidden, "ShellExec", level, name),
         _finding(exec_ & shell & ~dangerous & hidden, "ObfuscatedShellExec", level, name),
         _finding(exec_ & ~shell & (~hidden | python), "CodeExec", level, name),

