@@ -156,10 +156,12 @@ def _alike(core: Column, stream: Column, letters: str | None = None) -> Column:
         n = _number(stream, i)
         if letters:
             return F.when(c.rlike(r"^[\p{L}0-9]$"), _of(letters, n)).otherwise(c)
-        out = F.when(c.rlike("^[0-9]$"), _of("0123456789", n)).when(c.rlike("^[A-Z]$"), _of("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n))
+        own = F.when(c.rlike("^[0-9]$"), "0123456789").when(c.rlike("^[A-Z]$"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
         for script, alphabet in ALPHABETS:
-            out = out.when(c.rlike(rf"^[\p{{L}}&&\p{{Is{script}}}]$"), _of(alphabet, n))
-        return out.when(c.rlike(r"^\p{L}$"), _of(ALPHABETS[0][1], n)).otherwise(c)
+            own = own.when(c.rlike(rf"^[\p{{L}}&&\p{{Is{script}}}]$"), alphabet)
+        own = own.when(c.rlike(r"^\p{L}$"), ALPHABETS[0][1])
+        # the alphabet is chosen first, so the tree holds one draw and not one for each alphabet
+        return _let(own, lambda a: F.coalesce(F.substr(a, n % F.length(a) + 1, F.lit(1)), c))
 
     return F.array_join(F.transform(F.split(core, ""), drawn), "")
 
@@ -204,19 +206,22 @@ def draw_unit(kind: Column, core: Column, draw: Column, key: Column) -> Column:
         host = F.substr(core, F.lit(1), F.length(core) - F.length(top) - 1)
         extra = F.when(draw >= LONGER, F.array_join(F.transform(F.sequence(F.lit(0), draw - LONGER), lambda i: _of("0123456789", _number(s, i + 40))), "")).otherwise("")
         ipv4 = F.concat_ws(".", *[(_number(s, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
-        card = F.concat(F.left(core, F.lit(1)), _alike(F.substr(core, F.lit(2)), s))
         code = F.when(F.length(core) > 10, F.left(core, F.length(core) - 10)).otherwise("")
-        return (
-            F.when(kind.isin("given", "family"), _invented(core, s, draw))
-            .when(kind == "mailbox", F.concat(_alike(core, s), extra))
-            .when(kind == "domain", F.concat(_alike(host, s), extra, F.lit("."), top))
-            .when(kind == "ipv4", F.concat(ipv4, extra))
-            .when(kind == "card", _check_digit(F.concat(card, extra)))
-            .when(kind == "phone", F.concat(code, _alike(F.substr(core, F.length(code) + 1), s), extra))
-            .when(kind == "key", F.concat(F.lit("AKIA"), _alike(F.substr(core, F.lit(5)), s), extra))
-            .when(kind == "secret", F.concat(_alike(core, s, "0123456789abcdef"), extra))
-            .otherwise(F.concat(_alike(core, s), extra))
-        )
+        kept = F.when(kind == "card", F.left(core, F.lit(1))).when(kind == "phone", code).when(kind == "key", F.lit("AKIA")).otherwise("")
+        body = F.when(kind == "domain", host).when(~kind.isin("given", "family", "ipv4", "secret"), F.substr(core, F.length(kept) + 1))
+
+        def put(new: Column) -> Column:
+            return (
+                F.when(kind.isin("given", "family"), _invented(core, s, draw))
+                .when(kind == "domain", F.concat(new, extra, F.lit("."), top))
+                .when(kind == "ipv4", F.concat(ipv4, extra))
+                .when(kind == "card", _check_digit(F.concat(kept, new, extra)))
+                .when(kind == "secret", F.concat(_alike(core, s, "0123456789abcdef"), extra))
+                .otherwise(F.concat(kept, new, extra))
+            )
+
+        # one tree draws the characters of all forms but secrets
+        return _let(_alike(body, s), put)
 
     return _let(_stream(key, kind, core, draw), drawn)
 
