@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of the Arrow batches that go to Python and back; one longer row makes a batch of its own.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING, _SPARK_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,3 +65,32 @@ def row_key(*columns: str) -> list[Column]:
 def partitions_for(total: float, each: float, least: int = 1) -> int:
     """How many partitions hold ``total`` units at ``each`` units."""
     return max(least, int(-(-total // each)))
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ``BATCH_BYTES``, where it has no size of its own.
+
+    By default a batch has 10,000 rows or 64 MB, which the executor and its
+    worker hold several times over, whatever is done with them in chunks.
+    """
+    if spark.conf.get(_BATCH_SETTING) == _SPARK_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; a worker keeps it for its next task otherwise, while the JVM needs it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` on batches of bounded bytes; a worker gives back its memory after each task."""
+    bounded_batches(df.sparkSession)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(lean, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm._spark import cut, row_key, table
+from larkspur.llm._spark import cut, map_arrow, row_key, table
 from larkspur.llm._text import ALNUM, Words, as_bytes, chunks, grams, window_argmin
 
 WINDOW, GRAM, SLOT_BITS = 10, 5, 22
@@ -90,7 +90,7 @@ def _prints(df: DataFrame, columns: str, window: int, gram: int, lengths: list[i
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(words.counts, pa.int64()), _lists(docs, prints, batch.num_rows)], names=[*held, "n_words", "prints"])
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
-    return df.select(*held, "text").mapInArrow(run, f"{types}, n_words long, prints {_PRINT_SQL}")
+    return map_arrow(df.select(*held, "text"), run, f"{types}, n_words long, prints {_PRINT_SQL}")
 
 
 def _extend(window: int, gram: int):
@@ -146,7 +146,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     its = items.groupBy("k", "h", F.col("lead").alias("item_lead"), F.col("ctx").alias("item_ctx")).agg(F.collect_set("item_id").alias("items"))
     item_type = benchmark.schema["item_id"].dataType.simpleString()
     spans = hits.join(its, ["k", "h"]).select("_k1", "_k2", "k", "pos", "lead", "ctx", "item_lead", "item_ctx", "items")
-    spans = spans.mapInArrow(_extend(window, gram), f"_k1 long, _k2 long, start int, end int, items array<{item_type}>")
+    spans = map_arrow(spans, _extend(window, gram), f"_k1 long, _k2 long, start int, end int, items array<{item_type}>")
     by_doc = spans.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     return mine.drop("prints").join(by_doc, ["_k1", "_k2"], "left").withColumns({"spans": F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")), "items": F.coalesce("items", F.array().cast(f"array<{item_type}>"))})
 

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from larkspur.llm._graph import components
-from larkspur.llm._spark import cut, partitions_for, row_key, table
+from larkspur.llm._spark import bounded_batches, cut, give_back, map_arrow, partitions_for, row_key, table
 from larkspur.llm._text import NOT_SPACE, Words, as_bytes, chunks, grams, mix
 
 SHINGLE, PERCENT = 5, 75
@@ -135,8 +135,8 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shingle_counts(surveyed: DataFrame) -> np.ndarray:
     """The counts of all partitions, summed by slot in two steps; 8 MB whatever the input."""
     rows = surveyed.where("part IS NOT NULL").select("part", "blob")
-    some = rows.repartition(64, "part", F.xxhash64("blob") % 4).mapInArrow(_add_counts, "part int, blob binary")
-    parts = some.repartition(16, "part").mapInArrow(_add_counts, "part int, blob binary").collect()
+    some = map_arrow(rows.repartition(64, "part", F.xxhash64("blob") % 4), _add_counts, "part int, blob binary")
+    parts = map_arrow(some.repartition(16, "part"), _add_counts, "part int, blob binary").collect()
     out = np.zeros((16, (1 << COUNT_BITS) // 16), np.int64)
     for part, blob in parts:
         out[part] += np.frombuffer(zstandard.decompress(bytes(blob)), np.int64)
@@ -228,6 +228,13 @@ def _posting_lists(table_: pa.Table) -> pa.Table:
     return pa.table({"shingle": pa.array([k[0] for k in out], pa.int64()), "part": pa.array([k[1] for k in out], pa.int32()), "times": pa.array([times[k] for k in out], pa.int64()), "codes": lists[0], "sizes": lists[1]})
 
 
+def _lean_lists(table_: pa.Table) -> pa.Table:
+    """``_posting_lists``; what a bucket took goes back before the next."""
+    out = _posting_lists(table_)
+    give_back()
+    return out
+
+
 def _prefix(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
@@ -424,13 +431,14 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hot: i
     spark = docs.sparkSession
     keyed = docs.select("doc_id", *row_key("doc_id", "text"), "text")
     id_field = docs.schema["doc_id"]
-    surveyed = cut(keyed.mapInArrow(_survey(size, to_arrow_type(id_field.dataType)), f"doc_id {id_field.dataType.simpleString()}, _k1 long, _k2 long, n int, c long, c2 long, part int, blob binary"))
+    surveyed = cut(map_arrow(keyed, _survey(size, to_arrow_type(id_field.dataType)), f"doc_id {id_field.dataType.simpleString()}, _k1 long, _k2 long, n int, c long, c2 long, part int, blob binary"))
     rows = surveyed.where("part IS NULL").select("doc_id", "_k1", "_k2", "n", "c", "c2")
     counts = spark.sparkContext.broadcast(_shingle_counts(surveyed))
     tuples = rows.agg(F.sum(F.expr("n div 4 + 1"))).first()[0] or 0
 
-    packed = docs.select("text").mapInArrow(_prefixes(size, percent, partitions_for(tuples, BUCKET_TUPLES), counts, hot), "bucket long, tuples binary")
-    found = cut(packed.groupBy("bucket").applyInArrow(_posting_lists, _LISTS))
+    packed = map_arrow(docs.select("text"), _prefixes(size, percent, partitions_for(tuples, BUCKET_TUPLES), counts, hot), "bucket long, tuples binary")
+    bounded_batches(spark)
+    found = cut(packed.groupBy("bucket").applyInArrow(_lean_lists, _LISTS))
     counts.destroy()
 
     once = cut(found.where("part >= 0").groupBy("shingle", "part", "codes").agg(F.first("sizes").alias("sizes"), F.sum("times").alias("times")))
@@ -442,7 +450,7 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hot: i
     heads = lists.where("shingle IS NOT NULL").groupBy("shingle").agg(F.array_sort(F.collect_set(F.struct(F.col("codes")[0].alias("c"), F.col("sizes")[0].alias("s"), F.col("known")[0].alias("k")))).alias("m"))
     heads = heads.select(F.col("m.c").alias("codes"), F.col("m.s").alias("sizes"), F.col("m.k").alias("known"))
     paired = lists.select("codes", "sizes", "known").unionByName(heads).where(F.size("codes") > 1)
-    pairs = cut(paired.mapInArrow(_hub_pairs(percent), "a long, b long").distinct())
+    pairs = cut(map_arrow(paired, _hub_pairs(percent), "a long, b long").distinct())
     texts = _class_texts(keyed, rows, lists)
     links = cut(_verified(pairs, texts, size, percent))
     roots = components(links)
@@ -450,10 +458,10 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hot: i
     named = _attached(lists, roots.select(F.col("node").alias("c"), "root"), "root").withColumn("roots", F.transform("root", lambda x, i: F.coalesce(x, F.col("codes")[i])))
     labelled = cut(named.withColumn("k", F.size(F.array_distinct("roots"))).where("k > 1 OR shingle IS NOT NULL"))
     compared = texts.join(labelled.select(F.explode("codes").alias("c")).distinct(), "c", "left_semi")
-    labelled = cut(_attached(labelled, compared.select("c", "text").mapInArrow(_bitmaps(size), "c long, bitmap binary"), "bitmap"))
+    labelled = cut(_attached(labelled, map_arrow(compared.select("c", "text"), _bitmaps(size), "c long, bitmap binary"), "bitmap"))
     mine = ["codes", "sizes", "known", "roots", "bitmap"]
     theirs = [f"{name}2" for name in mine]
-    more = labelled.where(f"k > 1 AND size(codes) <= {BLOCK}").select(*mine).mapInArrow(_cross_pairs(percent, False), "a long, b long")
+    more = map_arrow(labelled.where(f"k > 1 AND size(codes) <= {BLOCK}").select(*mine), _cross_pairs(percent, False), "a long, b long")
     # the blocks of a long list, each two of them under a key of their own
     cut_at = ", ".join(f"slice({x}, i * {BLOCK} + 1, {BLOCK}) AS {x}" for x in mine)
     long = labelled.where(f"k > 1 AND size(codes) > {BLOCK}").withColumns({"list": F.struct(F.xxhash64("shingle", "part", "codes"), F.hash("codes", "part", "shingle")), "blocks": F.expr(f"(size(codes) - 1) div {BLOCK} + 1")})
@@ -461,14 +469,14 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hot: i
     first = blocks.select("list", F.col("x.i").alias("lo"), F.expr("explode(sequence(x.i, blocks - 1))").alias("hi"), *[F.col(f"x.{a}").alias(a) for a in mine])
     second = blocks.select("list", F.col("x.i").alias("hi"), F.expr("explode(sequence(0L, x.i))").alias("lo"), *[F.col(f"x.{a}").alias(b) for a, b in zip(mine, theirs)])
     met = first.join(second, ["list", "lo", "hi"]).select(*mine, *theirs)
-    more = more.unionByName(met.mapInArrow(_cross_pairs(percent, True), "a long, b long"))
+    more = more.unionByName(map_arrow(met, _cross_pairs(percent, True), "a long, b long"))
     dealt = labelled.where("shingle IS NOT NULL")
     dealt = dealt.join(dealt.groupBy("shingle").agg((F.max("part") + 1).alias("parts")), "shingle")
     # each two parts of a list meet under a key of their own
     before = dealt.where("part > 0").select("shingle", F.col("part").alias("hi"), F.explode(F.expr("sequence(0, part - 1)")).alias("lo"), *[F.col(a).alias(b) for a, b in zip(mine, theirs)])
     after = dealt.where("part < parts - 1").select("shingle", F.col("part").alias("lo"), F.explode(F.expr("sequence(part + 1, parts - 1)")).alias("hi"), "k", *mine)
     across = after.join(before, ["shingle", "lo", "hi"]).where("k > 1 OR exists(roots2, x -> x <> roots[0])")
-    more = more.unionByName(across.select(*mine, *theirs).mapInArrow(_cross_pairs(percent, True), "a long, b long"))
+    more = more.unionByName(map_arrow(across.select(*mine, *theirs), _cross_pairs(percent, True), "a long, b long"))
     late = cut(more.distinct().join(pairs, ["a", "b"], "left_anti"))
     if not late.isEmpty():
         roots = components(links.unionByName(_verified(late, texts, size, percent)))
@@ -495,7 +503,7 @@ def _class_texts(keyed: DataFrame, rows: DataFrame, lists: DataFrame) -> DataFra
             yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
 
     # rows that repeat id and text are one before the exchange
-    some = keyed.select("_k1", "_k2", "text").mapInArrow(maybe, "_k1 long, _k2 long, text string").dropDuplicates(["_k1", "_k2"])
+    some = map_arrow(keyed.select("_k1", "_k2", "text"), maybe, "_k1 long, _k2 long, text string").dropDuplicates(["_k1", "_k2"])
     return cut(some.join(one, ["_k1", "_k2"]).select("c", "text"))
 
 
@@ -509,7 +517,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     members = dealt.join(texts.withColumnRenamed("c", "member"), "member").select("hub", "salt", "member", "text")
     hubs = dealt.select("hub", "salt").distinct().join(texts.withColumnRenamed("c", "hub"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("member"), "text")
     rows = members.unionByName(hubs).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
-    return rows.select("hub", "member", "text").mapInArrow(verify(size, percent), "a long, b long")
+    return map_arrow(rows.select("hub", "member", "text"), verify(size, percent), "a long, b long")
 
 
 def _attached(lists: DataFrame, values: DataFrame, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm._spark import table
+from larkspur.llm._spark import map_arrow, table
 from larkspur.llm._text import chunks
 
 CAPACITY, END_ID = 2048, 1
@@ -151,7 +151,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
         if held:
             yield _batch(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    return map_arrow(docs.select("doc_id", "text"), run, _SCHEMA)
 
 
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm._learn import Logistic
-from larkspur.llm._spark import cut, row_key, table
+from larkspur.llm._spark import cut, map_arrow, row_key, table
 from larkspur.llm._text import NOT_SPACE, Words, as_bytes, chunks
 
 TRAIN_ROWS, ROUNDS, STEPS, CONFIDENT, PSEUDO, PENALTY = 12_000, 4, 2, 0.95, 0.5, 1e-3
@@ -191,9 +191,9 @@ def _pool_sums(pool: DataFrame):
             if isinstance(total, np.ndarray):
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-        rows = pool.mapInArrow(of, "sums binary")
+        rows = map_arrow(pool, of, "sums binary")
         if many:
-            rows = rows.repartition(ADDERS).mapInArrow(added, "sums binary")
+            rows = map_arrow(rows.repartition(ADDERS), added, "sums binary")
         sizes = [2 + len(s.weights) + (1 + len(s.weights)) ** 2 for s in students]
         total = sum((np.frombuffer(x, float) for x in rows.toArrow().column(0).to_pylist()), np.zeros(2 * sum(sizes)))
         cuts = np.split(total, np.cumsum([sizes[0], sizes[0], sizes[1]]))
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    packed = cut(_with_meta(docs).mapInArrow(_packed, f"doc_id {id_type}, a binary, b binary"))
+    packed = cut(map_arrow(_with_meta(docs), _packed, f"doc_id {id_type}, a binary, b binary"))
     train = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     sample = packed.join(F.broadcast(train), "doc_id").select("quality", "a", "b", F.xxhash64("doc_id", "a", "b").alias("h"))  # at most train_rows ids
     got = sample.orderBy("h", "quality").limit(train_rows).toArrow()
@@ -237,7 +237,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores = model.views(*_measured(batch, 3))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, scores)], names=["doc_id", "_k1", "_k2", "text_score", "meta_score", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, _k1 long, _k2 long, text_score double, meta_score double, score double")
+    return map_arrow(rows, run, f"doc_id {id_type}, _k1 long, _k2 long, text_score double, meta_score double, score double")
 
 
 def filter_quality(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM) -> DataFrame:
@@ -250,7 +250,7 @@ def filter_quality(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM)
             x = text_features(as_bytes(batch.column(columns["text"]))), meta_features(meta_codes(*meta))
             yield batch.filter(pa.array(model.views(*x)[2] >= keep_from))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
