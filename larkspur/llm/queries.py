@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm._sql import OP4_SQL, OP7_SQL, OP8_SQL
 from larkspur.llm.decontaminate import op4_decontaminate
+from larkspur.llm.fingerprints import OP11_SQL, op11_fingerprints
+from larkspur.llm.impact_index import OP12_SQL, op12_ranked_search
 from larkspur.llm.licenses import OP2_SQL, op2_license_scan
 from larkspur.llm.neighbors import OP10_SQL, op10_nearest_neighbors
 from larkspur.llm.ngram_join import op7_ngram_jaccard
@@ -18,7 +20,20 @@ from larkspur.llm.substrings import op8_substring_dedup
 from larkspur.llm.toxicity import op3_toxicity
 from larkspur.llm.urls import op5_url_filter
 
-_ALL = [op1_harmonic_packing, op2_license_scan, op3_toxicity, op4_decontaminate, op5_url_filter, op6_quality_cotraining, op7_ngram_jaccard, op8_substring_dedup, op9_pii_surrogates, op10_nearest_neighbors]
+_ALL = [
+    op1_harmonic_packing,
+    op2_license_scan,
+    op3_toxicity,
+    op4_decontaminate,
+    op5_url_filter,
+    op6_quality_cotraining,
+    op7_ngram_jaccard,
+    op8_substring_dedup,
+    op9_pii_surrogates,
+    op10_nearest_neighbors,
+    op11_fingerprints,
+    op12_ranked_search,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,4 +41,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": OP2_SQL, "op4_decontaminate": OP4_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_nearest_neighbors": OP10_SQL}
+    return {
+        "op2_license_scan": OP2_SQL,
+        "op4_decontaminate": OP4_SQL,
+        "op7_ngram_jaccard": OP7_SQL,
+        "op8_substring_dedup": OP8_SQL,
+        "op10_nearest_neighbors": OP10_SQL,
+        "op11_fingerprints": OP11_SQL,
+        "op12_ranked_search": OP12_SQL,
+    }
