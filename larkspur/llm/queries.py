@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm._sql import OP4_SQL, OP7_SQL, OP8_SQL
 from larkspur.llm.decontaminate import op4_decontaminate
+from larkspur.llm.divergence import OP13_SQL, op13_source_divergence
 from larkspur.llm.fingerprints import OP11_SQL, op11_fingerprints
 from larkspur.llm.impact_index import OP12_SQL, op12_ranked_search
 from larkspur.llm.licenses import OP2_SQL, op2_license_scan
@@ -33,6 +34,7 @@ _ALL = [
     op10_nearest_neighbors,
     op11_fingerprints,
     op12_ranked_search,
+    op13_source_divergence,
 ]
 
 
@@ -49,4 +51,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_nearest_neighbors": OP10_SQL,
         "op11_fingerprints": OP11_SQL,
         "op12_ranked_search": OP12_SQL,
+        "op13_source_divergence": OP13_SQL,
     }
