@@ -128,7 +128,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     edge = edge.dropDuplicates(["to"]).select("doc_id", "text", "_k1", "_k2", F.col("to").alias("bucket"), F.lit(True).alias("edge"))
 
     order = Window.partitionBy("bucket").orderBy("edge", F.desc_nulls_last("doc_id"), "_k1", "_k2")
-    dealt = rows.withColumn("edge", F.lit(False)).unionByName(edge).repartition("bucket")
+    dealt = rows.withColumn("edge", F.lit(False)).unionByName(edge).repartition(buckets, "bucket")
     out = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("own", winnow(F.col("text")))
     out = out.withColumn("next_hashes", F.lead(hashes_of(F.col("own"))).over(order))
     return out.where(~F.col("edge")).select("doc_id", "text", "next_text", "own", "next_hashes")
