@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import catalogue as C
 from larkspur.operators import rules as R
+from larkspur.functions.patterns import marked
 from larkspur.operators.analysis import _BUILTINS, Walk, guarded, is_setup_name
+from larkspur.operators.limits import SECONDS, Limited
 
 _LEVEL_KEYS = {1: "verylow", 2: "low", 3: "medium", 4: "high", 5: "veryhigh"}
 _STATEMENTS = {"AsyncFunctionDef": "FunctionDef", "AsyncFor": "For", "AsyncWith": "With", "TryStar": "Try"}
@@ -260,16 +262,22 @@ def facts_and_counts(source: str | None, path: str | None) -> tuple[list[dict],
     return found, {k: float(v) for k, v in out.items()}
 
 
-def with_counts(sources: DataFrame) -> DataFrame:
-    """``sources`` (file_id, file_path, content, ...) with ``facts`` and the map ``counts``."""
+def with_counts(sources: DataFrame, seconds: float = SECONDS) -> DataFrame:
+    """``sources`` (file_id, file_path, content, ...) with ``facts`` and the map ``counts``; limits as in ``rules.with_facts``."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sources.schema.fields)
     path_at, content_at = sources.columns.index("file_path"), sources.columns.index("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [facts_and_counts(s, p) for s, p in zip(batch.column(content_at).to_pylist(), batch.column(path_at).to_pylist())]
-            counts = pa.array([list(c.items()) for _, c in made], pa.map_(pa.string(), pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f for f, _ in made], R._ARROW), counts], names=[*batch.schema.names, "facts", "counts"])
+        def call(text: str, path: str | None):
+            found, counts = facts_and_counts(text, path)
+            return marked(found), counts
+
+        with Limited(call, seconds) as limited:
+            for batch in batches:
+                made = [R.within(limited, s, p, lambda: ([], {})) for s, p in zip(batch.column(content_at).to_pylist(), batch.column(path_at).to_pylist())]
+                made = [m if isinstance(m, tuple) else (m, {}) for m in made]  # no counts where the limits were reached
+                counts = pa.array([list(c.items()) for _, c in made], pa.map_(pa.string(), pa.float64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f for f, _ in made], R._ARROW), counts], names=[*batch.schema.names, "facts", "counts"])
 
     return sources.mapInArrow(run, f"{schema}, facts array<{R.FACT}>, counts map<string,double>")
 

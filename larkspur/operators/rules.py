@@ -15,27 +15,45 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import catalogue as C
 from larkspur.functions import text as T
+from larkspur.functions.patterns import SPAN, marked
 from larkspur.operators.analysis import EXTRA, HARD_SUBJECT, LEAST_HIGH, PYTHON, SUSPICIOUS, is_setup_name  # noqa: F401  is_setup_name is part of this module's surface
+from larkspur.operators.limits import SECONDS, CallFailed, Limited, LimitReached
 
 FACT = "struct<kind:string,ord:int,start:int,end:int,name:string,text:string,how:string,taints:array<string>,number:int,depth:int>"
 CODE = {name: code for code, name, *_ in C.RULES}
 VERY_LOW, LOW, MEDIUM, HIGH, VERY_HIGH = 1, 2, 3, 4, 5
+_PLACE = ("ord", "depth", "start", "end")
 _ARROW = pa.list_(
     pa.struct([("kind", pa.string()), ("ord", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("name", pa.string()), ("text", pa.string()), ("how", pa.string()), ("taints", pa.list_(pa.string())), ("number", pa.int32()), ("depth", pa.int32())])
 )
 
 
-def with_facts(sources: DataFrame) -> DataFrame:
-    """``sources`` (file_id, file_path, content, ...) with a column ``facts``; text of facts is kept whole."""
+def within(limited: Limited, text: str | None, path: str | None, empty=list):
+    """What a limited call finds in a text; one that reaches its limits or fails has an ``error`` fact."""
+    if text is None:
+        return empty()
+    try:
+        return limited.run(text, path)
+    except (LimitReached, CallFailed) as error:
+        return [{"kind": "error", "ord": 0, "start": 0, "end": 0, "name": str(error)[:200], "text": None, "how": "", "taints": [], "number": 0, "depth": 0}]
+
+
+def with_facts(sources: DataFrame, seconds: float = SECONDS) -> DataFrame:
+    """``sources`` (file_id, file_path, content, ...) with a column ``facts``; text of facts is kept whole.
+
+    A file is analysed in a child process of the worker; one that takes longer
+    than ``seconds`` or too much memory has an ``error`` fact, and the job goes on.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sources.schema.fields)
     path_at, content_at = sources.columns.index("file_path"), sources.columns.index("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from larkspur.operators.analysis import facts
 
-        for batch in batches:
-            found = [facts(s, p) for s, p in zip(batch.column(content_at).to_pylist(), batch.column(path_at).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW)], names=[*batch.schema.names, "facts"])
+        with Limited(lambda text, path: marked(facts(text, path)), seconds) as limited:
+            for batch in batches:
+                found = [within(limited, s, p) for s, p in zip(batch.column(content_at).to_pylist(), batch.column(path_at).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW)], names=[*batch.schema.names, "facts"])
 
     return sources.mapInArrow(run, f"{schema}, facts array<{FACT}>")
 
@@ -58,8 +76,8 @@ def _worst(taints: Column) -> Column:
     return F.when(F.arrays_overlap(taints, F.array(*map(F.lit, ("Decoded", "Deobfuscated", "Fingerprinting")))), HIGH).otherwise(MEDIUM)
 
 
-def fact_findings(f: Column) -> Column:
-    """Findings of one fact, an array of structs."""
+def fact_findings(f: Column | dict[str, Column]) -> Column:
+    """Findings of one fact, a struct or its fields by name: an array of structs."""
     kind, name, text, how, taints, number = (f[x] for x in ("kind", "name", "text", "how", "taints", "number"))
     is_ = lambda k: kind == k
     call = is_("call")
@@ -100,17 +118,16 @@ def fact_findings(f: Column) -> Column:
         for m in names:
             level = F.when(name == m, imports[m][0]).otherwise(level)
         rules.append(_finding(is_("import") & among(names), next(n for n, c in CODE.items() if c == rule), level, name))
-    rules += _literal_rules(is_("literal"), text, how) + _exec_rules(is_("exec"), name, text, how, taints, number)
+    rules += _literal_rules(is_("literal"), text, how, number) + _exec_rules(is_("exec"), name, text, how, taints, number)
     return F.filter(F.array(*rules), lambda x: x.isNotNull())
 
 
-def _literal_rules(literal: Column, text: Column, how: Column) -> list[Column]:
-    normal = T.normal_slashes(text)
-    prose = T.doc_like(text)
-    hit = _hits(C.LITERAL_PATTERNS, lambda x: F.contains(normal, x["p"]) & ~(prose & x["p"].rlike("^(import|from) ")))
+def _literal_rules(literal: Column, text: Column, how: Column, number: Column) -> list[Column]:
+    # the number of a literal says which pattern it holds first; import statements do not count in prose
+    at = F.when(T.doc_like(text), F.floor(number / SPAN).cast("int")).otherwise(number % SPAN)
+    findings = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("confidence"), F.lit(p).alias("label"), F.lit(d).alias("description")) for p, d, c, r in C.LITERAL_PATTERNS])
     long_enough = literal & F.octet_length(text).between(*C.LITERAL_BYTES)
-    code = hit["r"]
-    pattern = F.when(long_enough & hit.isNotNull(), F.struct(code.alias("rule"), hit["c"].alias("confidence"), hit["p"].alias("label"), hit["d"].alias("description")))
+    pattern = F.when(literal & (number > 0), F.get(findings, at - 1))
     shown = T.preview(text)
     # decoded text is shown as the escapes of its bytes
     decoded = F.when(how.isin("Base64", "Hex") & ~text.rlike(r"\A(?:\\x[0-9a-f]{2})+\z"), T.preview(F.regexp_replace(F.lower(F.hex(F.encode(text, "UTF-8"))), "(..)", r"\\x$1"))).otherwise(shown)
@@ -150,17 +167,14 @@ def found_in(facts: Column, path: Column) -> Column:
     Findings of a setup.py are a level higher for the rules that execute,
     fingerprint or send.  No facts give no findings.
     """
-    is_setup = F.lower(F.regexp_extract(path, r"([^/\\\\]*)$", 1)).endswith("setup.py")
-
-    def of(f: Column) -> Column:
-        def row(x: Column) -> Column:
-            up = F.coalesce(is_setup, F.lit(False)) & x["rule"].isin(C.SETUP_ELEVATED) & (x["confidence"] < HIGH)
-            named = [f[n].alias(n) for n in ("ord", "depth", "start", "end")]
-            return F.struct(*named, x["rule"].alias("rule"), (x["confidence"] + up.cast("int")).alias("confidence"), x["label"].alias("label"), x["description"].alias("description"))
+    of = lambda f: F.transform(fact_findings(f), lambda x: F.struct(*[f[n].alias(n) for n in _PLACE], x["rule"].alias("rule"), _elevated(x, path), x["label"].alias("label"), x["description"].alias("description")))
+    return F.flatten(F.transform(F.coalesce(facts, F.array().cast(f"array<{FACT}>")), of))
 
-        return F.transform(fact_findings(f), row)
 
-    return F.flatten(F.transform(F.coalesce(facts, F.array().cast(f"array<{FACT}>")), of))
+def _elevated(finding: Column, path: Column) -> Column:
+    is_setup = F.lower(F.regexp_extract(path, r"([^/\\\\]*)$", 1)).endswith("setup.py")
+    up = F.coalesce(is_setup, F.lit(False)) & finding["rule"].isin(C.SETUP_ELEVATED) & (finding["confidence"] < HIGH)
+    return (finding["confidence"] + up.cast("int")).alias("confidence")
 
 
 def with_findings(analysed: DataFrame) -> DataFrame:
@@ -170,9 +184,10 @@ def with_findings(analysed: DataFrame) -> DataFrame:
 
 def findings(analysed: DataFrame) -> DataFrame:
     """One row per finding of ``analysed`` (file_id, file_path, facts, ...), in order within a file."""
-    rows = analysed.select("file_id", "file_path", F.explode("facts").alias("f"))
-    rows = rows.select("file_id", "file_path", F.explode(found_in(F.array("f"), F.col("file_path"))).alias("x"))
-    return rows.select("file_id", "file_path", "x.ord", "x.depth", "x.start", "x.end", "x.rule", "x.confidence", "x.label", "x.description")
+    rows = analysed.select("file_id", "file_path", F.explode("facts").alias("f")).select("file_id", "file_path", "f.*")
+    fact = {name: F.col(name) for name in ("kind", "name", "text", "how", "taints", "number")}
+    rows = rows.select("file_id", "file_path", *_PLACE, F.explode(fact_findings(fact)).alias("x"))
+    return rows.select("file_id", "file_path", *_PLACE, "x.rule", _elevated(F.col("x"), F.col("file_path")), "x.label", "x.description")
 
 
 def audit(sources: DataFrame) -> DataFrame:
