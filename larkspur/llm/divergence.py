@@ -128,11 +128,11 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS)
     docs = docs.select(part("lang"), part("source"), part("text"))
     at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = partitions_for(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], SHARD_BYTES, at_least)
-    shard = lambda n: F.pmod(F.xxhash64("lang", "term"), F.lit(n)).alias("shard")
+    shard = lambda n: F.pmod(F.xxhash64("lang", "term"), F.lit(n))
 
     kept_sql, partial_sql = _KEPT.format(min_docs=min_docs), _PARTIAL.format(top_terms=top_terms)
-    counts = count_terms(docs)
-    kept = cut(counts.groupBy(shard(shards)).applyInArrow(lambda t: _duck(kept_sql, _KEPT_SCHEMA, counts=t), "lang string, source string, term string, n long"))
+    counts = count_terms(docs).withColumn("shard", shard(shards)).repartition(shards, "shard")
+    kept = cut(counts.groupBy("shard").applyInArrow(lambda t: _duck(kept_sql, _KEPT_SCHEMA, counts=t.drop_columns(["shard"])), "lang string, source string, term string, n long"))
 
     terms = kept.groupBy("lang", "term").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_total"))
     sources = docs.select("lang", "source").distinct().join(kept.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(terms, "lang", "left")
@@ -140,10 +140,10 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS)
     sources = sources.select("lang", "source", *[F.coalesce(c, none).alias(c) for c in ("total", "v", "lang_total")])
     sources = cut(sources.withColumn("zero", F.expr(f"CASE WHEN v > 0 THEN 1 + {SCALE * SMOOTH} div (total + {SMOOTH} * v) ELSE 0L END")))
 
-    shards = partitions_for(kept.count(), SHARD_ROWS, at_least)
+    shards = partitions_for(kept.count(), SHARD_ROWS)  # each gives a row for every pair and 50 for every source, so no more than the counts need
     for_all = sources.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     partial = (
-        kept.select("*", shard(shards))
+        kept.withColumn("shard", shard(shards))
         .groupBy("shard")
         .cogroup(for_all.groupBy("shard"))
         .applyInArrow(lambda c, s: _duck(partial_sql, _PARTIAL_SCHEMA, counts=c, sources=s) if c.num_rows else _PARTIAL_SCHEMA.empty_table(), "part string, lang string, source string, item string, value long")
