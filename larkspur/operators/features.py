@@ -22,6 +22,7 @@ from larkspur.operators import rules as R
 from larkspur.functions.patterns import marked
 from larkspur.operators.analysis import _BUILTINS, Walk, guarded, is_setup_name
 from larkspur.operators.limits import SECONDS, Limited
+from larkspur.operators.order import with_sequence
 
 _LEVEL_KEYS = {1: "verylow", 2: "low", 3: "medium", 4: "high", 5: "veryhigh"}
 _STATEMENTS = {"AsyncFunctionDef": "FunctionDef", "AsyncFor": "For", "AsyncWith": "With", "TryStar": "Try"}
@@ -315,14 +316,18 @@ def features(sources: DataFrame) -> DataFrame:
     return found.withColumn("features", F.map_from_entries(F.array_sort(counted))).drop("counts", "facts")
 
 
-def vocabulary(featured: DataFrame, order: str = "file_id") -> DataFrame:
-    """name and index of every feature, by the first row in ``order`` that has it, then by name.
+def numbered_names(featured: DataFrame, seen: Column) -> DataFrame:
+    """The distinct names in the maps ``features``, numbered from 0 by the least ``seen`` of a row that has them, then by name: name, number.
 
-    The distinct names are few, so they are numbered after the aggregate.
+    Names are counted where they are and numbered by ranges; none is on the driver.
     """
-    first = featured.select(F.col(order).alias("seen"), F.explode(F.map_keys("features")).alias("name")).groupBy("name").agg(F.min("seen").alias("seen"))
-    rows = first.orderBy("seen", "name").select("name").collect()
-    return featured.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(rows)], "name string, index int")
+    first = featured.select(seen.alias("seen"), F.explode(F.map_keys("features")).alias("name")).groupBy("name").agg(F.min("seen").alias("seen"))
+    return with_sequence(first, [F.col("seen"), F.col("name")], "number").select("name", "number")
+
+
+def vocabulary(featured: DataFrame, order: str = "file_id") -> DataFrame:
+    """The distinct names, numbered by their first row in the order of a column: name, index."""
+    return numbered_names(featured, F.col(order)).select("name", F.col("number").cast("int").alias("index"))
 
 
 def dense(featured: DataFrame, names: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as T
 from larkspur.operators import features, model
 from larkspur.operators import rules as R
+from larkspur.plans import extended
 from larkspur.sinks import report
 from larkspur.sources import datasets
 
@@ -287,6 +288,7 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "tree_score": (tree_score, _SCORE_SQL),
     "json_findings": (json_findings, f"SELECT archive AS archive_path, label, rule, ['very_low', 'low', 'medium', 'high', 'very_high'][confidence] AS confidence FROM ({_WANTED})"),
     "dataset_validation": (dataset_validation, _VALID_SQL),
+    **extended.ALL,
 }
 
 
