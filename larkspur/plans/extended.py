@@ -26,29 +26,29 @@ EVENT_SQL = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS win
 
 
 def walk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as sources, some in archives (by customer), numbered as a walk finds them."""
-    key = F.col("o_orderkey").cast("string")
-    archive = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("d/"), F.col("o_custkey").cast("string"), F.lit(".zip")))
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", archive.alias("archive_path"), F.concat(F.lit("d"), F.right(key, F.lit(1)), F.lit("/"), key, F.lit(".py")).alias("file_path"), (F.col("o_orderkey") % 50).cast("int").alias("place"))
-    return scan.in_walk_order(rows).select("o_orderkey", "seq")
+    """Documents as sources, some in archives (by source and language), numbered as a walk finds them."""
+    key = F.col("doc_id").cast("string")
+    archive = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("d/"), "source", F.lit("/"), "lang", F.lit(".zip")))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", archive.alias("archive_path"), F.concat(F.lit("d"), F.right(key, F.lit(1)), F.lit("/"), key, F.lit(".py")).alias("file_path"), (F.col("doc_id") % 50).cast("int").alias("place"))
+    return scan.in_walk_order(rows).select("doc_id", "seq")
 
 
 WALK_SQL = """
-SELECT o_orderkey, row_number() OVER (ORDER BY translate(coalesce(archive, file), '/', chr(1)), o_orderkey % 50, file) - 1 AS seq
-FROM (SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'd/' || o_custkey || '.zip' END AS archive, 'd' || right(CAST(o_orderkey AS VARCHAR), 1) || '/' || o_orderkey || '.py' AS file FROM orders)
+SELECT doc_id, row_number() OVER (ORDER BY translate(coalesce(archive, file), '/', chr(1)), doc_id % 50, file) - 1 AS seq
+FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'd/' || source || '/' || lang || '.zip' END AS archive, 'd' || right(CAST(doc_id AS VARCHAR), 1) || '/' || doc_id || '.py' AS file FROM documents)
 """
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct names in maps of features, numbered by the first row that has them."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars IS NOT NULL AND source IS NOT NULL")
     name = lambda x: F.concat(F.lit(f"{x}."), F.col(x).cast("string"))
-    return features.numbered_names(rows.select(F.col("o_orderkey").alias("seq"), F.create_map(name("o_custkey"), F.lit(1.0), name("o_orderstatus"), F.lit(2.0)).alias("features")), F.col("seq"))
+    return features.numbered_names(rows.select("doc_id", F.create_map(name("n_chars"), F.lit(1.0), name("source"), F.lit(2.0)).alias("features")), F.col("doc_id"))
 
 
 VOCABULARY_SQL = """
 SELECT name, row_number() OVER (ORDER BY s, name) - 1 AS number
-FROM (SELECT name, min(o_orderkey) AS s FROM (SELECT o_orderkey, 'o_custkey.' || o_custkey AS name FROM orders UNION ALL SELECT o_orderkey, 'o_orderstatus.' || o_orderstatus FROM orders) GROUP BY name)
+FROM (SELECT name, min(doc_id) AS s FROM (SELECT doc_id, unnest(['n_chars.' || n_chars, 'source.' || source]) AS name FROM documents WHERE n_chars IS NOT NULL AND source IS NOT NULL) GROUP BY name)
 """
 
 _PATTERNS = [p for p, *_ in C.LITERAL_PATTERNS]
@@ -62,8 +62,8 @@ _CODES = sorted({r for *_, r in C.LITERAL_PATTERNS} | {R.CODE["EnvAccess"]} | {r
 def catalogue_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the audit finds in sources that hold one entry each of the catalogues of patterns, variables and modules."""
     texts = F.array(*map(F.lit, _ENTRIES))
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        F.col("o_orderkey").cast("string").alias("file_id"), F.lit("a.py").alias("file_path"), F.get(texts, (F.col("o_orderkey") % len(_ENTRIES)).cast("int")).alias("content")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("doc_id").cast("string").alias("file_id"), F.lit("a.py").alias("file_path"), F.get(texts, (F.col("doc_id") % len(_ENTRIES)).cast("int")).alias("content")
     )
     return R.audit(rows).where(F.col("rule").isin(_CODES)).select("file_id", "rule", "confidence", "label")
 
@@ -83,7 +83,7 @@ held AS (
   SELECT k, min(i) AS i FROM text JOIN pattern ON contains(replace(replace(t, '\\\\', '/'), '\\', '/'), p)
   WHERE NOT (regexp_matches(p, '^(import|from) ') AND EXISTS (SELECT 1 FROM mark WHERE contains(lower(t), m))) GROUP BY k),
 wanted AS (SELECT k, p AS label, confidence, rule FROM held JOIN pattern USING (i) UNION ALL SELECT k, label, confidence, rule FROM other)
-SELECT CAST(o_orderkey AS VARCHAR) AS file_id, rule, confidence, label FROM orders JOIN wanted ON o_orderkey % {len(_ENTRIES)} = k
+SELECT CAST(doc_id AS VARCHAR) AS file_id, rule, confidence, label FROM documents JOIN wanted ON doc_id % {len(_ENTRIES)} = k
 """
 
 ALL = {
