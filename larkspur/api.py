@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +26,15 @@ def unknown_codes(codes: list[str]) -> list[str]:
     return [c for c in codes if c not in {code for code, *_ in C.RULES}]
 
 
-def file_results(sources: DataFrame, scorer: model.TreeModel | None = None, least_score: float = 0.0) -> DataFrame:
-    """``sources`` with findings and score; the features are computed only for a scorer."""
+def file_results(sources: DataFrame, scorer: model.TreeModel | None = None, least_score: float = 0.0, extra: Sequence[rules.Rule] = ()) -> DataFrame:
+    """``sources`` with findings and score; the features are computed only for a scorer.
+
+    Rules of one's own find things where no score is asked for: a model knows nothing of them.
+    """
+    if scorer is not None and extra:
+        raise ValueError("a model has no features of rules that it was not trained with")
     if scorer is None:
-        found = rules.with_findings(rules.with_facts(sources)).drop("facts").withColumn("score", F.lit(0.0))
+        found = rules.with_findings(rules.with_facts(sources), extra).drop("facts").withColumn("score", F.lit(0.0))
         return found if least_score <= 0 else found.where(F.lit(False))
     return model.scored(features.features(sources), scorer, least_score)
 

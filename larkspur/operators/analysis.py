@@ -27,6 +27,8 @@ MAX_DEPTH, MAX_REPAIRS = 8, 60
 MAX_FOLDED = 64_000_000
 #: Statements of local functions that a file's calls may evaluate once more; beyond it an ``error`` fact is given.
 MAX_INLINED = 500_000
+#: Elements that a file's comprehensions and joined lists may have in all; beyond it an ``error`` fact is given and no elements are known.
+MAX_ELEMENTS = 200_000
 HARD = {"Decoded", "Deobfuscated"}
 _SHELL, _CODE, _SINKS, _DOWNLOADS = map(frozenset, (C.SHELL_COMMANDS, C.CODE_EXEC, C.EXFIL_SINKS, C.DOWNLOADS))
 _SOURCE_OF = {name: kind for kind, names in C.CALL_TAINTS.items() for name in names}
@@ -250,9 +252,9 @@ class Walk:
         self.classes: list[dict[str, Value]] = []
         self.facts: list[dict] = []
         self.modules: set[str] = set()
-        self.downloaded: dict[str, dict] = {}
         self.inlined, self.inline_depth = 0, 0
         self.unread: ast.Call | None = None
+        self.elements, self.uncounted = 0, None
         self.folded, self.unfolded = 0, None
         self.results: dict[tuple, list[Value]] = {}
         self.used: dict[Function, tuple[frozenset, int]] = {}
@@ -280,16 +282,13 @@ class Walk:
             self.emit("error", self.unfolded, "texts too long to fold")
         if self.unread is not None:
             self.emit("error", self.unread, "calls not evaluated")
+        if self.uncounted is not None:
+            self.emit("error", self.uncounted, "too many elements to evaluate")
         if not self.depth:
             first = {"dynamic_import": 0, "comment": 1}
             self.facts.sort(key=lambda f: first.get(f["kind"], 2) if f["depth"] == 0 else 2)
             for i, f in enumerate(self.facts):
                 f["ord"] = i
-        names = {f["name"] for f in self.facts if f["kind"] in ("call", "exec")}
-        spawns = bool(names & _SHELL) or "pty.spawn" in names
-        for f in self.facts:
-            if f["name"] == "os.dup2" and spawns:
-                f["number"] = 1
         return self.facts
 
     def comments(self) -> None:
@@ -374,7 +373,8 @@ class Walk:
             value = self.value(s.value)
             old = self.value(s.target) if isinstance(s.target, (ast.Name, ast.Attribute)) else NOTHING
             if isinstance(s.target, ast.Name):
-                joined = old.text + value.text if old.text is not None and value.text is not None and isinstance(s.op, ast.Add) else None
+                both = old.text is not None and value.text is not None and isinstance(s.op, ast.Add)
+                joined = old.text + value.text if both and self.may_fold(s, len(old.text) + len(value.text)) else None
                 self.scopes[-1][s.target.id] = Value(text=joined, how=old.how or value.how, taints=old.taints | value.taints, params=old.params | value.params)
         elif isinstance(s, (ast.For, ast.AsyncFor)):
             over = self.value(s.iter)
@@ -430,7 +430,6 @@ class Walk:
 
     def klass(self, s: ast.ClassDef) -> None:
         bases = [self.value(b).path or (b.id if isinstance(b, ast.Name) else "") for b in s.bases]
-        first = len(self.facts)
         self.classes.append({})
         self.scopes.append({})
         self.body(s.body)
@@ -438,8 +437,7 @@ class Walk:
         self.classes.pop()
         hooks = [b for b in bases if b.rsplit(".", 1)[-1] in ("install", "Command", "develop", "egg_info", "build_py")]
         if self.is_setup and hooks and {"run", "__init__"} & set(scope):
-            able = any(f["kind"] in ("exec", "exfil", "download", "env") for f in self.facts[first:])
-            self.emit("hook", s, s.name, number=1 + able)
+            self.emit("hook", s, s.name, number=1)
         self.scopes[-1][s.name] = Value(path=None)
 
     # -- expressions ---------------------------------------------------
@@ -462,13 +460,24 @@ class Walk:
                 taints, params = taints | v.taints, params | v.params
         return Value(taints=taints, params=params)
 
+    def may_fold(self, node: ast.AST, characters: int) -> bool:
+        """Whether a text of so many characters may still be made; asked before it is."""
+        self.folded += characters
+        if self.folded > MAX_FOLDED:
+            self.unfolded = self.unfolded or self.span(node)
+        return self.folded <= MAX_FOLDED
+
+    def may_hold(self, node: ast.AST, elements: int) -> bool:
+        """Whether so many elements may still be evaluated or joined; asked before they are."""
+        self.elements += elements
+        if self.elements > MAX_ELEMENTS:
+            self.uncounted = self.uncounted or self.span(node)
+        return self.elements <= MAX_ELEMENTS
+
     def literal(self, e: ast.expr, v: Value) -> Value:
         text = v.raw if v.raw is not None else v.text
-        if v.how and text is not None:
-            self.folded += len(text)
-            if self.folded > MAX_FOLDED:
-                self.unfolded = self.unfolded or self.span(e)
-                return replace(v, text=None, raw=None, hint="")
+        if v.how and text is not None and not self.may_fold(e, len(text)):
+            return replace(v, text=None, raw=None, hint="")
         if v.how:  # a folded text stands for all that it was made of
             start, end = self.span(e)
             for f in reversed(self.facts):
@@ -529,7 +538,7 @@ class Walk:
         if isinstance(e.op, ast.Add) and a.text is not None and b.text is not None:
             return self.literal(e, replace(out, text=a.text + b.text, how=a.how or b.how or "Concat"))
         if isinstance(e.op, ast.Add) and a.items is not None and b.items is not None:
-            return replace(out, items=a.items + b.items)
+            return replace(out, items=a.items + b.items if self.may_hold(e, len(a.items) + len(b.items)) else None)
         if a.number is not None and b.number is not None:
             x, y = a.number, b.number
             try:
@@ -609,7 +618,7 @@ class Walk:
         items = None
         elements = over.items if over.items is not None else tuple(Value(text=c) for c in over.text) if over.text is not None else None
         plain = len(e.generators) == 1 and isinstance(e.generators[0].target, ast.Name) and not e.generators[0].ifs
-        if plain and elements is not None and not isinstance(e, ast.DictComp):
+        if plain and elements is not None and not isinstance(e, ast.DictComp) and self.may_hold(e, len(elements)):
             quiet, kept = self.facts, []
             for element in elements:  # facts of the copies are not those of the source
                 self.facts = []
@@ -851,9 +860,6 @@ class Walk:
         stdin = python and parts[1] == "-"
         flags = (SUSPICIOUS if sus else 0) | (PYTHON if python and not stdin else 0) | (LEAST_HIGH if alias or python else 0) | (HARD_SUBJECT if self.hard(subjects) else 0)
         self.emit("exec", e, qn, "\0".join(p.replace("\0", " ") for p in parts), "code" if stdin else kind, callee.taints.union(*(s.taints for s in subjects)), number=flags)
-        for path, fact in self.downloaded.items():
-            if any(path in p for p in parts):
-                fact["number"] = 1
         self.leak(kind, qn, subjects)
 
     def detect(self, e: ast.Call, qn: str | None, callee: Value, args: list[Value], named: dict, flow: frozenset) -> None:
@@ -880,9 +886,7 @@ class Walk:
             for t in texts[:1]:
                 to = (args[1].text or args[1].hint) if len(args) > 1 else texts[1] if len(texts) > 1 else ""
                 temporary = qn.endswith("urlretrieve") and any(m in to for m in C.TEMP_MARKS)
-                fact = self.emit("download", e, t, to, qn, flow, number=2 if temporary else 0)
-                if to:
-                    self.downloaded[to] = fact
+                self.emit("download", e, t, to, qn, flow, number=2 if temporary else 0)
         if qn in ("open", "io.open", "pathlib.Path.open") or qn in C.PATH_WRITES:
             mode = mode_of(args[1:2], named)
             name = first.text if qn not in C.PATH_WRITES else None

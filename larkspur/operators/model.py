@@ -1,4 +1,4 @@
-"""Oblivious-tree models: loading, scoring and training.
+"""Oblivious-tree models: loading and scoring; ``boosting`` trains them.
 
 A model is JSON (or gzipped JSON) with float features and their borders,
 oblivious trees (split indices and leaf values), and a scale and bias.  Scores
@@ -18,8 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ITERATIONS, DEPTH, RATE, L2, BORDERS = 350, 5, 0.03, 15.0, 32
-#: Labelled rows of a fit.
-TRAIN_ROWS = 20_000
 
 
 @dataclass
@@ -112,53 +110,3 @@ def scored(featured: DataFrame, model: TreeModel | None, least: float = 0.0) ->
     """Rows with ``score`` (0 without a model) of at least ``least``."""
     out = featured.withColumn("score", F.lit(0.0)) if model is None else with_score(featured, model)
     return out.where(F.col("score") >= least) if least > 0 else out
-
-
-def train(featured: DataFrame, label: str = "label", rows: int = TRAIN_ROWS, iterations: int = ITERATIONS, depth: int = DEPTH, rate: float = RATE, l2: float = L2) -> TreeModel:
-    """Boosted oblivious trees from at most ``rows`` rows (features, ``label`` of 0 or 1), by hash order.
-
-    Absent features are 0.  Each feature has up to ``BORDERS`` borders at its
-    quantiles; a level takes the split that gains most over all its leaves.
-    """
-    some = featured.where(F.col(label).isNotNull()).orderBy(F.xxhash64(F.to_json("features"), label))
-    got = some.select("features", F.col(label).cast("double").alias("y")).limit(rows).toArrow()
-    records = [dict(m or {}) for m in got.column("features").to_pylist()]
-    y = np.array(got.column("y").to_pylist(), float)
-    names = sorted({k for r in records for k in r})
-    x = np.array([[r.get(k) or 0.0 for k in names] for r in records], np.float32).reshape(len(records), len(names))
-    return TreeModel(fit(x, y, names, iterations, depth, rate, l2))
-
-
-def fit(x: np.ndarray, y: np.ndarray, names: list[str], iterations: int, depth: int, rate: float, l2: float) -> dict:
-    """The specification of a model fitted on dense rows."""
-    specs, columns, offset = [], [], 0
-    for i, name in enumerate(names):
-        values = np.unique(x[:, i])
-        if len(values) > BORDERS + 1:
-            values = np.unique(np.quantile(x[:, i], np.linspace(0, 1, BORDERS + 2), method="nearest"))
-        borders = ((values[1:] + values[:-1]) / 2).astype(np.float32)
-        specs.append({"feature_id": name, "feature_index": i, "flat_feature_index": i, "borders": borders.tolist(), "has_nans": False, "nan_value_treatment": "AsIs"})
-        columns += [(x[:, i] > b, i, float(b)) for b in borders]
-        offset += len(borders)
-    bits = np.array([c[0] for c in columns]) if columns else np.zeros((0, len(y)), bool)
-    base = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
-    raw, trees = np.full(len(y), np.log(base / (1 - base))), []
-    for _ in range(iterations if len(bits) else 0):
-        grad = y - 1 / (1 + np.exp(-raw))
-        leaf, splits = np.zeros(len(y), np.int64), []
-        for level in range(depth):
-            n = 1 << level
-            total, count = np.bincount(leaf, grad, n), np.bincount(leaf, minlength=n).astype(float)
-            member = np.zeros((len(y), n))
-            member[np.arange(len(y)), leaf] = 1
-            right, n_right = bits @ (member * grad[:, None]), bits @ member
-            left, n_left = total - right, count - n_right
-            gain = (right**2 / (n_right + l2) + left**2 / (n_left + l2)).sum(1)
-            best = int(gain.argmax())
-            splits.append(best)
-            leaf |= bits[best].astype(np.int64) << level
-        n = 1 << depth
-        values = rate * 4 * np.bincount(leaf, grad, n) / (np.bincount(leaf, minlength=n) + l2)
-        raw = raw + values[leaf]
-        trees.append({"leaf_values": values.tolist(), "splits": [{"split_type": "FloatFeature", "float_feature_index": columns[s][1], "split_index": s, "border": columns[s][2]} for s in splits]})
-    return {"features_info": {"float_features": specs}, "oblivious_trees": trees, "scale_and_bias": [1.0, [float(np.log(base / (1 - base)))]]}

