@@ -74,6 +74,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> Iterator[str]:
         names = scan.exclusions("\n".join(r[0] for r in spark.read.text(args.exclude_names).toLocalIterator())) if args.exclude_names else []
         scorer = model.load(spark, args.model) if args.model else None
         results = api.kept(api.file_results(scan.scan(spark, args.path, names), scorer, args.min_score), args.min_confidence, args.include, args.exclude)
+        results = scan.in_walk_order(results).orderBy("seq")  # written once, and shown in the order of the walk
         if args.dump:
             report.write_annotated(results, args.dump)
         if args.output_format == "json":

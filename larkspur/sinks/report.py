@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import catalogue as C
+from larkspur.operators.tables import cut
+from larkspur.sources.files import write_bytes
 
 #: How levels are written in diagnostics.
 SHOWN = {1: "VeryLow", 2: "Low", 3: "Medium", 4: "High", 5: "VeryHigh"}
@@ -178,8 +180,15 @@ def annotated_files(results: DataFrame) -> DataFrame:
 
 
 def write_annotated(results: DataFrame, folder: str) -> None:
-    """Writes ``annotated_files`` as one text file each, in Spark's own output layout below ``folder``/name=...; any store that Spark writes to."""
-    annotated_files(results).write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(folder)
+    """Writes ``annotated_files`` below ``folder``, one file each, by the tasks that have them."""
+
+    def run(parts: Iterator) -> Iterator:
+        for part in parts:
+            for name, text in zip(part["name"], part["text"]):
+                write_bytes(f"{folder.rstrip('/')}/{name}", text.encode())
+            yield part[["name"]]
+
+    annotated_files(results).mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
 
 
 def rules_markdown() -> str:
@@ -194,8 +203,9 @@ def benchmark(results: DataFrame, sources: DataFrame, least: int = 1) -> dict:
     of archives without a match come to the driver.
     """
     hits = results.select("archive_path", F.explode("findings").alias("x")).where(F.col("x.confidence") >= least)
-    by_level = hits.groupBy(F.col("x.confidence").alias("c")).count().orderBy(F.desc("count"), "c").collect()
-    by_rule = hits.groupBy(F.col("x.rule").alias("r")).count().orderBy(F.desc("count"), "r").collect()
+    hits = cut(hits.select("archive_path", F.col("x.confidence").alias("c"), F.col("x.rule").alias("r")))  # so that the audit is done once
+    by_level = hits.groupBy("c").count().orderBy(F.desc("count"), "c").collect()
+    by_rule = hits.groupBy("r").count().orderBy(F.desc("count"), "r").collect()
     missing = sources.select("archive_path").where("archive_path IS NOT NULL").distinct().join(hits.select("archive_path").distinct(), "archive_path", "left_anti")
     return {
         "total_files": sources.count(),

@@ -14,8 +14,10 @@ _ENTRY = "archive string, file string, reason string, code string, verdict strin
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of JSON lines, gzipped or not; lines that cannot be read keep their text in ``_bad``."""
-    return spark.read.schema(_ENTRY).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    """Entries of JSON lines, gzipped or not; lines that cannot be read keep their text in ``_bad``, and ``_line`` is an entry's place in the dataset."""
+    rows = spark.read.schema(_ENTRY).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    # within a part of a file rows are numbered as they are read
+    return rows.withColumn("_line", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")))
 
 
 def decoded(entries: DataFrame) -> DataFrame:
@@ -32,8 +34,9 @@ def decoded(entries: DataFrame) -> DataFrame:
 
 
 def code_of(entries: DataFrame, file: str) -> DataFrame:
-    """``content`` of an entry with this file name: the first in the order of archives, of one row or none."""
-    return decoded(entries).where((F.col("file") == file) & F.col("error").isNull()).orderBy("archive", "content").limit(1).select("content")
+    """``content`` of an entry with this file name: the first in the dataset, or in the order of archives where entries have no place; one row or none."""
+    order = ["_line"] if "_line" in entries.columns else ["archive", "content"]
+    return decoded(entries).where((F.col("file") == file) & F.col("error").isNull()).orderBy(*order).limit(1).select("content")
 
 
 def _as_sources(entries: DataFrame) -> DataFrame:

@@ -11,42 +11,20 @@ those of its items that the feed still shows.
 from __future__ import annotations
 
 import hashlib
-import urllib.request
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
 
+from larkspur.sources.files import read_bytes, write_bytes
+
 SCHEMA = "package_name string, version string, link string, pub_date timestamp, error string"
-TIMEOUT_SECONDS = 30
 Row = tuple[str | None, str | None, str | None, datetime | None, str | None]
 
 
-def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or uri, and the path on it."""
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-
-
-def read_bytes(path: str) -> bytes:
-    if path.startswith(("http://", "https://")):
-        with urllib.request.urlopen(path, timeout=TIMEOUT_SECONDS) as answer:
-            return answer.read()
-    system, plain = file_system(path)
-    with system.open_input_stream(plain) as stream:
-        return stream.read()
-
-
-def write_bytes(path: str, data: bytes) -> None:
-    system, plain = file_system(path)
-    system.create_dir(plain.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(plain) as stream:
-        stream.write(data)
-
-
 def items(data: bytes) -> Iterator[tuple[str, Row]]:
     """Key and row of each item; what cannot be read is a row with an error, a document that is no XML one such row."""
     try:

@@ -13,8 +13,8 @@ from larkspur.operators import model
 from larkspur.operators.tables import cut
 from larkspur.sinks import report
 from larkspur.sources import scan
+from larkspur.sources.files import file_system, write_bytes
 from larkspur.streaming import alerts, state
-from larkspur.streaming.feed import file_system, write_bytes
 
 #: Archives that the store keeps.
 STORED = 500

@@ -293,6 +293,19 @@ def test_monitor_alerts_once(spark, tmp_path):
     assert sorted(told) == ["a", "a", "c", "d"]
 
 
+def test_first_entry_of_a_dataset_in_its_order(spark, tmp_path):
+    entry = lambda archive, text: json.dumps({"archive": archive, "file": "same.py", "code": base64.b64encode(text.encode()).decode(), "verdict": "benign"})
+    (tmp_path / "d.jsonl").write_text("\n".join(entry(f"z{9999 - i}", f"x = {i}\n") for i in range(5000)) + "\n")
+    name = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(name, "50000")
+    try:
+        entries = datasets.read(spark, str(tmp_path / "d.jsonl"))
+        assert entries.rdd.getNumPartitions() > 3
+        assert [r.content for r in datasets.code_of(entries, "same.py").collect()] == ["x = 0\n"]
+    finally:
+        spark.conf.unset(name)
+
+
 # -- command line -----------------------------------------------------------
 
 
