@@ -86,3 +86,14 @@ def test_rules_of_ones_own(spark):
         rules.audit(rows, [rule, rule])
     with pytest.raises(ValueError):
         api.file_results(rows, scorer=object(), extra=[rule])
+
+
+def test_table_functions(spark):
+    from larkspur import sql
+
+    sql.register(spark)
+    sources(spark, [GOOD, None, "x = ('a' + 'b')\n"]).createOrReplaceTempView("src")
+    got = spark.sql("SELECT s.file_id, f.kind, f.name, f.text, f.how FROM src s, LATERAL code_facts(s.content) f WHERE f.kind IN ('exec', 'literal')").collect()
+    assert sorted(map(tuple, got), key=str) == [("0", "exec", "os.system", "ls", "shell"), ("0", "literal", None, "ls", ""), ("2", "literal", None, "ab", "Concat")]
+    counted = spark.sql("SELECT s.file_id, f.value FROM src s, LATERAL code_features(s.content, 'a.py') f WHERE f.name = 'ast.num_calls' ORDER BY 1").collect()
+    assert [tuple(r) for r in counted] == [("0", 1.0), ("2", 0.0)]
