@@ -7,6 +7,7 @@ fixed values of a few hundred entries, held as literals.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
@@ -86,9 +87,14 @@ def _finding(when: Column, rule: str, confidence: Column | int, label: Column, d
     return F.when(when, F.struct(F.lit(CODE[rule]).alias("rule"), confidence.cast("int").alias("confidence"), label.alias("label"), description.alias("description")))
 
 
+def _table(rows: list[dict], schema: str) -> Column:
+    """Fixed rows as one constant, an array of structs: a single expression, however many rows there are."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{', '.join(f.replace(' ', ':') for f in schema.split(', '))}>>")
+
+
 def _hits(entries: list[tuple], test) -> Column:
     """The first entry, in the table's order, that ``test`` accepts: a struct or null."""
-    rows = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(d).alias("d"), F.lit(c).alias("c"), F.lit(r).alias("r")) for p, d, c, r in entries])
+    rows = _table([dict(zip("pdcr", entry)) for entry in entries], "p string, d string, c int, r string")
     return F.get(F.filter(rows, test), 0)
 
 
@@ -137,13 +143,9 @@ def fact_findings(f: Column | Mapping[str, Column], extra: Sequence[Rule] = ())
     for rule, kinds in (("SuspiciousFunctionName", ("def", "called")), ("SuspiciousParameterName", ("param",)), ("SuspiciousVariable", ("target",))):
         hit = _hits([(s, None, c, None) for s, c in C.IDENTIFIERS], lambda x: F.contains(F.lower(name), x["p"]))
         rules.append(F.when(kind.isin(list(kinds)), _finding(hit.isNotNull(), rule, hit["c"], name)))
-    imports = {m: (c, r) for m, _, c, r in C.IMPORTS}
-    for rule in dict.fromkeys(r for _, r in imports.values()):
-        names = [m for m, (_, r) in imports.items() if r == rule]
-        level = F.lit(LOW)
-        for m in names:
-            level = F.when(name == m, imports[m][0]).otherwise(level)
-        rules.append(_finding(is_("import") & among(names), next(n for n, c in CODE.items() if c == rule), level, name))
+    module = _hits([(m, None, c, r) for m, _, c, r in C.IMPORTS], lambda x: x["p"] == name)
+    for rule in dict.fromkeys(r for *_, r in C.IMPORTS):
+        rules.append(F.when(is_("import"), _finding(module["r"] == rule, next(n for n, c in CODE.items() if c == rule), module["c"], name)))
     rules += _literal_rules(is_("literal"), text, how, number) + _exec_rules(is_("exec"), name, text, how, taints, number)
     rules += [r.finding({n: f[n] for n in _FIELDS}) for r in extra]
     return F.filter(F.array(*rules), lambda x: x.isNotNull())
@@ -152,7 +154,7 @@ def fact_findings(f: Column | Mapping[str, Column], extra: Sequence[Rule] = ())
 def _literal_rules(literal: Column, text: Column, how: Column, number: Column) -> list[Column]:
     # the number of a literal says which pattern it holds first; import statements do not count in prose
     at = F.when(T.doc_like(text), F.floor(number / SPAN).cast("int")).otherwise(number % SPAN)
-    findings = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("confidence"), F.lit(p).alias("label"), F.lit(d).alias("description")) for p, d, c, r in C.LITERAL_PATTERNS])
+    findings = _table([{"rule": r, "confidence": c, "label": p, "description": d} for p, d, c, r in C.LITERAL_PATTERNS], "rule string, confidence int, label string, description string")
     long_enough = literal & F.octet_length(text).between(*C.LITERAL_BYTES)
     pattern = F.when(literal & (number > 0), F.get(findings, at - 1))
     shown = T.preview(text)
