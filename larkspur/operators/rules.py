@@ -20,6 +20,7 @@ from larkspur.functions import catalogue as C
 from larkspur.functions import text as T
 from larkspur.functions.patterns import SPAN, marked
 from larkspur.operators.analysis import EXTRA, HARD_SUBJECT, LEAST_HIGH, PYTHON, SUSPICIOUS, is_setup_name  # noqa: F401  is_setup_name is part of this module's surface
+from larkspur.operators.dealing import dealt
 from larkspur.operators.limits import SECONDS, CallFailed, Limited, LimitReached
 from larkspur.operators.relations import related
 
@@ -45,7 +46,8 @@ def within(limited: Limited, text: str | None, path: str | None, empty=list):
 def with_facts(sources: DataFrame, seconds: float = SECONDS) -> DataFrame:
     """``sources`` (file_id, file_path, content, ...) with a column ``facts``; text of facts is kept whole.
 
-    A file is analysed in a child process of the worker; one that takes longer
+    Files are dealt to all cores, since a few bytes of them are much work.  A
+    file is analysed in a child process of the worker; one that takes longer
     than ``seconds`` or too much memory has an ``error`` fact, and the job goes on.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sources.schema.fields)
@@ -59,7 +61,7 @@ def with_facts(sources: DataFrame, seconds: float = SECONDS) -> DataFrame:
                 found = [within(limited, s, p) for s, p in zip(batch.column(content_at).to_pylist(), batch.column(path_at).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW)], names=[*batch.schema.names, "facts"])
 
-    return sources.mapInArrow(run, f"{schema}, facts array<{FACT}>").withColumn("facts", related(F.col("facts")))
+    return dealt(sources).mapInArrow(run, f"{schema}, facts array<{FACT}>").withColumn("facts", related(F.col("facts")))
 
 
 @dataclass(frozen=True)

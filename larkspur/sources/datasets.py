@@ -50,6 +50,7 @@ def feature_lines(entries: DataFrame, limit: int | None = None) -> DataFrame:
     rows = _as_sources(entries)
     rows = rows if limit is None else rows.orderBy("file_path", "file_id").limit(limit)
     made = features(rows)
+    made = made if limit is None else made.orderBy("file_path", "file_id")
     flat = F.to_json("features")
     tail = F.to_json(F.struct(F.col("verdict").alias("_label"), F.col("file_path").alias("_file_path")))
     return made.select(F.concat(F.substr(flat, F.lit(1), F.length(flat) - 1), F.lit(","), F.substr(tail, F.lit(2))).alias("value"))
