@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.dealing import slices
+
 ITERATIONS, DEPTH, RATE, L2, BORDERS = 350, 5, 0.03, 15.0, 32
 
 
@@ -97,7 +99,7 @@ def with_score(featured: DataFrame, model: TreeModel) -> DataFrame:
     schema, at = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in featured.schema.fields), featured.columns.index("features")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             records = [None if m is None else dict(m) for m in batch.column(at).to_pylist()]
             out = sigmoid(model.raw_of_records(records)).astype(float)
             out[[r is None for r in records]] = 0.0

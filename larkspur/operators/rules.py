@@ -20,7 +20,7 @@ from larkspur.functions import catalogue as C
 from larkspur.functions import text as T
 from larkspur.functions.patterns import SPAN, marked
 from larkspur.operators.analysis import EXTRA, HARD_SUBJECT, LEAST_HIGH, PYTHON, SUSPICIOUS, is_setup_name  # noqa: F401  is_setup_name is part of this module's surface
-from larkspur.operators.dealing import dealt
+from larkspur.operators.dealing import dealt, slices
 from larkspur.operators.limits import SECONDS, CallFailed, Limited, LimitReached
 from larkspur.operators.relations import related
 
@@ -57,7 +57,7 @@ def with_facts(sources: DataFrame, seconds: float = SECONDS) -> DataFrame:
         from larkspur.operators.analysis import facts
 
         with Limited(lambda text, path: marked(facts(text, path)), seconds) as limited:
-            for batch in batches:
+            for batch in slices(batches):
                 found = [within(limited, s, p) for s, p in zip(batch.column(content_at).to_pylist(), batch.column(path_at).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW)], names=[*batch.schema.names, "facts"])
 

@@ -1,9 +1,11 @@
 """Files are few bytes and much work: how they get to tasks."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import features, rules
+from larkspur.operators import dealing, features, model, rules
 
 
 @pytest.mark.parametrize("analyse", [rules.with_facts, features.with_counts])
@@ -16,3 +18,22 @@ def test_the_files_of_one_partition_are_dealt_evenly_to_all_cores(spark, analyse
     cores, dealt = spark.sparkContext.defaultParallelism, [r.part for r in rows]
     assert len(set(dealt)) >= cores
     assert max(map(dealt.count, set(dealt))) <= 2 * n / cores
+
+
+def test_maps_come_to_python_a_few_at_a_time(spark):
+    class Counting:
+        def raw_of_records(self, records):
+            if len(records) > 256:
+                raise ValueError(f"{len(records)} maps at a time")
+            return np.zeros(len(records))
+
+    one = spark.range(0, 2_000, 1, 1).select("id", F.create_map(F.lit("a"), F.lit(1.0)).alias("features"))
+    rows = model.with_score(one, Counting()).collect()
+    assert sorted(r.id for r in rows) == list(range(2_000)) and {r.score for r in rows} == {0.5}
+
+
+def test_slices_are_all_rows_in_order():
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b))], names=["n"]) for a, b in ((0, 0), (0, 700), (700, 701))]
+    got = list(dealing.slices(iter(batches)))
+    assert max(b.num_rows for b in got) <= 256
+    assert [n for b in got for n in b.column(0).to_pylist()] == list(range(701))
