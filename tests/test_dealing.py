@@ -1,10 +1,13 @@
 """Files are few bytes and much work: how they get to tasks."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from larkspur.operators import dealing, features, model, rules
 
 
@@ -19,6 +22,13 @@ def test_the_files_of_one_partition_are_dealt_evenly_to_all_cores(spark, analyse
     assert len(set(dealt)) >= cores
     assert max(map(dealt.count, set(dealt))) <= 2 * n / cores
 
+@pytest.mark.parametrize("name", ["findings"])
+def test_the_query_deals_its_files_before_the_analysis(spark, name):
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    analyses = plan.count("MapInArrow")
+    tasks = [int(n) for n in re.findall(r"MapInArrow[^\n]*\n(?:[^\n]*Project[^\n]*\n)*[^\n]*Exchange RoundRobinPartitioning\((\d+)\)", plan)]
+    assert analyses and len(tasks) == analyses and min(tasks) >= dealing.TASKS * spark.sparkContext.defaultParallelism
+
 
 def test_maps_come_to_python_a_few_at_a_time(spark):
     class Counting:
