@@ -22,7 +22,7 @@ def test_the_files_of_one_partition_are_dealt_evenly_to_all_cores(spark, analyse
     assert len(set(dealt)) >= cores
     assert max(map(dealt.count, set(dealt))) <= 2 * n / cores
 
-@pytest.mark.parametrize("name", ["findings", "archive_counts", "exclude_codes", "include_codes", "min_confidence", "topk_rules"])
+@pytest.mark.parametrize("name", ["findings", "archive_counts", "exclude_codes", "include_codes", "min_confidence", "topk_rules", "missing_files"])
 def test_the_query_deals_its_files_before_the_analysis(spark, name):
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     analyses = plan.count("MapInArrow")
